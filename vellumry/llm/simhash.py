@@ -29,7 +29,7 @@ BITS, SEGMENTS, RADIUS = 128, 6, 17
 #: Texts of fewer words have too few features; they match only texts of the same words in the same order.
 LEAST_WORDS = 8
 #: Entries of balls that one task holds at a time.
-ENTRIES_A_PART = 1_500_000
+ENTRIES_A_PART = 1_000_000
 U = np.uint64
 _CUTS = [round(i * BITS / SEGMENTS) for i in range(SEGMENTS + 1)]
 
@@ -87,58 +87,48 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=1)
-def _masks() -> tuple[list[np.ndarray], int]:
-    """For each segment, the (1 + bits, 2) flips of its ball of radius 1."""
-    out = []
-    for a, b in zip(_CUTS[:-1], _CUTS[1:]):
+def _balls() -> tuple[np.ndarray, np.ndarray]:
+    """Flips of the balls of radius 1 of all segments, (m, 2) words, and the segment of each."""
+    flips, of = [], []
+    for s, (a, b) in enumerate(zip(_CUTS[:-1], _CUTS[1:])):
         m = np.zeros((1 + b - a, 2), U)
         for r, bit in enumerate(range(a, b), 1):
             m[r, bit // 64] = U(1) << U(bit % 64)
-        out.append(m)
-    return out, sum(len(m) for m in out)
+        flips.append(m)
+        of.append(np.full(len(m), s, np.uint8))
+    return np.concatenate(flips), np.concatenate(of)
 
 
-def _segment(fp: np.ndarray, s: int) -> np.ndarray:
-    """The bits of segment s, with its number above them."""
-    a, b = _CUTS[s], _CUTS[s + 1]
+def _keys(fp: np.ndarray, ball: np.ndarray) -> np.ndarray:
+    """The key that entry ball of all balls gives each fingerprint: the segment's bits, flipped, with its number above them."""
+    flips, of = _balls()
     key = np.zeros(len(fp), U)
-    for word in (0, 1):
-        lo, hi = max(a, word * 64), min(b, word * 64 + 64)
-        if lo < hi:
-            key |= ((fp[:, word] >> U(lo - word * 64)) & U((1 << (hi - lo)) - 1)) << U(lo - a)
-    return key | U(s) << U(60)
-
-
-def _ball_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all balls, and the row of fp that each belongs to."""
-    keys = [_segment((fp[:, None, :] ^ m[None]).reshape(-1, 2), s) for s, m in enumerate(_masks()[0])]
-    return np.concatenate(keys), np.concatenate([np.repeat(np.arange(len(fp)), len(m)) for m in _masks()[0]])
+    for s, (a, b) in enumerate(zip(_CUTS[:-1], _CUTS[1:])):
+        mine = np.flatnonzero(of[ball] == s)
+        x = fp[mine] ^ flips[ball[mine]]
+        k = np.full(len(mine), s << 60, U)
+        for word in (0, 1):
+            lo, hi = max(a, word * 64), min(b, word * 64 + 64)
+            if lo < hi:
+                k |= ((x[:, word] >> U(lo - word * 64)) & U((1 << (hi - lo)) - 1)) << U(lo - a)
+        key[mine] = k
+    return key
 
 
 def _blobs(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part of the key space one binary of the fingerprints that have a key there: rows of 16 bytes, each once."""
-    rows, size = [], 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        fp = np.concatenate(rows)
-        keys, own = _ball_keys(fp)
-        part = (tn.mix(keys) % U(parts)).astype(np.int64)
-        code = np.unique(part * len(fp) + own)
-        part, own = code // len(fp), code % len(fp)
-        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        blobs = [fp[own[a:b]].tobytes() for a, b in zip(at, np.r_[at[1:], len(part)])]
-        yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
-
+    """Per part of the key space one binary of the entries there: 17 bytes each, a fingerprint and which entry of its balls."""
+    m = len(_balls()[0])
     for b in batches:
-        for a in range(0, b.num_rows, 40_000):
-            s = b.slice(a, 40_000)
-            rows.append(np.stack([s.column(0).to_numpy().view(U), s.column(1).to_numpy().view(U)], axis=1))
-            size += len(rows[-1])
-            if size >= 40_000:
-                yield from out()
-                rows, size = [], 0
-    if rows and size:
-        yield from out()
+        for a in range(0, b.num_rows, 8192):
+            s = b.slice(a, 8192)
+            fp = np.stack([s.column(0).to_numpy().view(U), s.column(1).to_numpy().view(U)], axis=1)
+            own, ball = np.repeat(np.arange(len(fp), dtype=np.int32), m), np.tile(np.arange(m, dtype=np.uint8), len(fp))
+            part = (tn.mix(_keys(fp[own], ball)) % U(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, own, ball = part[order], own[order], ball[order]
+            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            blobs = [fp[own[x:y]].tobytes() + ball[x:y].tobytes() for x, y in zip(at, np.r_[at[1:], len(part)])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
 def _far(fp: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -159,53 +149,53 @@ def _forest(fp: np.ndarray, members: np.ndarray) -> Iterator[tuple[int, int]]:
                 queue.extend(found)
 
 
-def _match(parts: int, part: int, fp: np.ndarray) -> np.ndarray:
-    """(m, 2) indices into fp of near copies that meet under a key of this part."""
-    keys, own = _ball_keys(fp)
-    mine = (tn.mix(keys) % U(parts)).astype(np.int64) == part
-    keys, own = keys[mine], own[mine]
+def _match(fp: np.ndarray, ball: np.ndarray) -> np.ndarray:
+    """(m, 4) words of two fingerprints each, near copies that meet under a key of these entries."""
+    keys = _keys(fp, ball)
     order = np.argsort(keys, kind="stable")
-    keys, own = keys[order], own[order]
+    keys, fp = keys[order], fp[order]
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.r_[at, len(keys)])
+    left = np.repeat(at + size, size) - np.arange(len(keys))  # entries from here to the end of the run
+    left[np.repeat(size > 32, size)] = 0
     edges = []
     for gap in range(1, 32):  # runs of up to 32 entries: all pairs, by distance within the run
-        place = np.arange(len(keys)) - np.repeat(at, size)
-        fit = (np.repeat(size, size) <= 32) & (place + gap < np.repeat(size, size))
-        a = np.flatnonzero(fit)
+        a = np.flatnonzero(left > gap)
         if not len(a):
             break
-        for s in range(0, len(a), 1 << 19):
-            x, y = own[a[s : s + (1 << 19)]], own[a[s : s + (1 << 19)] + gap]
-            near = _far(fp[x], fp[y]) <= RADIUS
-            edges.append(np.stack([x[near], y[near]], axis=1))
+        for s in range(0, len(a), 1 << 18):
+            x = a[s : s + (1 << 18)]
+            near = x[_far(fp[x], fp[x + gap]) <= RADIUS]
+            edges.append(np.stack([near, near + gap], axis=1))
     for a, n in zip(at[size > 32], size[size > 32]):
-        edges.append(np.array(list(_forest(fp, own[a : a + n])), np.int64).reshape(-1, 2))
+        edges.append(np.array(list(_forest(fp, np.arange(a, a + n))), np.int64).reshape(-1, 2))
     if not edges:
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 4), U)
     e = np.concatenate(edges)
-    e = np.sort(e, axis=1)
-    return np.unique(e, axis=0)
+    x, y = fp[e[:, 0]], fp[e[:, 1]]
+    swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
+    return np.unique(np.where(swap[:, None], np.concatenate([y, x], axis=1), np.concatenate([x, y], axis=1)), axis=0)
 
 
-def _match_parts(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input sorted by part: match each part's fingerprints as soon as they are complete."""
-    held, at = [], None
+def _match_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input sorted by part: match each part's entries as soon as they are complete."""
+    fps, balls, at = [], [], None
 
     def out() -> pa.RecordBatch:
-        fp = np.unique(np.frombuffer(b"".join(held), U).reshape(-1, 2), axis=0)
-        e = _match(parts, at, fp)
-        cols = [fp[e[:, s], w].view(np.int64) for s in (0, 1) for w in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a0", "a1", "b0", "b1"])
+        e = _match(np.concatenate(fps), np.concatenate(balls))
+        return pa.RecordBatch.from_arrays([pa.array(e[:, k].copy().view(np.int64)) for k in range(4)], names=["a0", "a1", "b0", "b1"])
 
     for b in batches:
         for part, blob in zip(b.column(0).to_pylist(), b.column(1)):
-            if part != at and held:
+            if part != at and fps:
                 yield out()
-                held = []
+                fps, balls = [], []
             at = part
-            held.append(blob.as_py())
-    if held:
+            raw = np.frombuffer(blob.as_buffer(), np.uint8)
+            n = len(raw) // 17
+            fps.append(raw[: n * 16].view(U).reshape(-1, 2).copy())
+            balls.append(raw[n * 16 :].copy())
+    if fps:
         yield out()
 
 
@@ -215,10 +205,10 @@ def near_pairs(distinct: DataFrame, n: int) -> DataFrame:
     n: the number of distinct fingerprints; parts grow with it, so that a task's share doesn't.
     """
     spark = distinct.sparkSession
-    parts = max(1, -(-n * _masks()[1] // ENTRIES_A_PART))
+    parts = max(1, -(-n * len(_balls()[0]) // ENTRIES_A_PART))
     blobs = distinct.select("f0", "f1").mapInArrow(lambda it: _blobs(parts, it), "part int, blob binary")
     placed = blobs.repartition(max(parts, spark.sparkContext.defaultParallelism), "part").sortWithinPartitions("part")
-    return placed.mapInArrow(lambda it: _match_parts(parts, it), "a0 long, a1 long, b0 long, b1 long")
+    return placed.mapInArrow(_match_parts, "a0 long, a1 long, b0 long, b1 long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
