@@ -4,14 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumry.llm import simhash
+from vellumry.llm import decontam, packing, quality, simhash, toxicity
 from vellumry.llm.common import materialize, table
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("simhash_dedup", lambda spark, docs, sf_dir: simhash.deduplicate(docs)),
+    ("toxicity", drop_toxic),
+    ("quality_classifier", drop_low_quality),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("packing", pack_batches),
 ]
 
-#: Trained classifiers and numpy alignment have no SQL form; the stages are tested against brute force.
+#: Trained classifiers and numpy alignment have no SQL form; the stages are tested against brute force and held-out labels.
 ORACLE_SQL = None
 
 
