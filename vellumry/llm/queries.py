@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumry.llm import decontam, packing, quality, simhash, toxicity
+from vellumry.llm import decontam, packing, quality, simhash, token_count, toxicity
 from vellumry.llm.common import table
 
 
@@ -30,12 +30,17 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_groups": op8_simhash_groups,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
