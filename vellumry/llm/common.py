@@ -28,7 +28,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", "") or getattr(shared_dir, "own", "")
     if not base:
         base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="vellumry-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    # A path with no scheme lies where the session's own default says; other programs than the session must find it too.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full.startswith("file:/") and not full.startswith("file://"):
+        full = "file://" + full[5:]
+    return f"{full.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumry.llm import decontam, packing, quality, simhash, token_count, toxicity
-from vellumry.llm.common import table
+from vellumry.llm import arrow_out, decontam, packing, quality, simhash, token_count, toxicity, url_filter
+from vellumry.llm.common import shared_dir, table
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.classify(table(spark, sf_dir, "pages"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,16 +34,22 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_out.write(table(spark, sf_dir, "documents"), shared_dir(spark, "sequences"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_groups": op8_simhash_groups,
+    "op9_arrow_sequences": op9_arrow_sequences,
     "op10_token_counts": op10_token_counts,
 }
 
