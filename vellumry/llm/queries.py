@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumry.llm import arrow_out, decontam, packing, quality, simhash, token_count, topk, toxicity, url_filter
+from vellumry.llm import arrow_out, decontam, lm_score, packing, quality, simhash, token_count, topk, toxicity, url_filter
 from vellumry.llm.common import shared_dir, table
 
 
@@ -14,6 +14,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.classify(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_lm_scores": op2_lm_scores,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
