@@ -73,3 +73,8 @@ def identity(*columns: Column) -> Column:
 def safe_path(path: Column) -> Column:
     """Relative, with no empty, . or .. segment, no backslash and no control character."""
     return (path != "") & ~path.rlike(r"^/|\\|[\x00-\x1f]|(^|/)\.{0,2}(/|$)")
+
+
+def listed(text: Column) -> Column:
+    """The trimmed, non-empty items of a comma-separated list."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumry.session import written
+
 
 def ancestors(nodes: DataFrame, start: DataFrame | None = None, ident: str = "ID", parent: str = "post_parent", most: int = 1000) -> DataFrame:
     """(ID, ancestor, distance) for every node, or those of start; a node met before ends the walk, so cycles end.
 
-    Pointer doubling: after round r chains of length 2^r are known, so rounds grow as the logarithm of the depth.
+    Pointer doubling: after round r chains of length 2^r are known, so rounds grow as the logarithm of the depth; each is
+    written to the shared folder, so that none is computed twice.
     """
     edges = nodes.where(F.col(parent).isNotNull()).join(nodes.select(F.col(ident).alias("__p")), F.col(parent) == F.col("__p"), "left_semi")
     step = edges.select(F.col(ident).alias("a"), F.col(parent).alias("b")).where("a <> b").distinct()
@@ -17,10 +20,8 @@ def ancestors(nodes: DataFrame, start: DataFrame | None = None, ident: str = "ID
     reach = 1
     while reach < most:
         longer = known.where(F.col("d") == reach).alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.d") + F.col("y.d")).alias("d")).where("a <> b")
-        grown = known.unionByName(longer).groupBy("a", "b").agg(F.min("d").alias("d"))
-        more = grown.where(F.col("d") > reach).limit(1).count()
-        known = grown
-        if not more:
+        known = written(known.unionByName(longer).groupBy("a", "b").agg(F.min("d").alias("d")), "ancestors")
+        if known.where(F.col("d") > reach).isEmpty():
             break
         reach *= 2
     found = known.select(F.col("a").alias("ID"), F.col("b").alias("ancestor"), F.col("d").alias("distance"))
@@ -53,3 +54,20 @@ def expected_paths(nodes: DataFrame, name: str, ident: str = "ID", parent: str =
     x = nodes.select(F.col(ident).alias("ID"), F.col(name).alias("__own")).join(above, "ID", "left").join(parents, "ID", "left")
     base = F.concat_ws("/", "dir", "__own")
     return x.select("ID", F.when(F.col("has_children"), F.concat(base, F.lit("/index.md"))).otherwise(F.concat(base, F.lit(".md"))).alias("path"))
+
+
+def parents_of_paths(files: DataFrame) -> DataFrame:
+    """(ID, parent) from paths (ID, path): a file belongs to the index of its directory, an index to that of the directory above."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
+    index = F.col("path").endswith("/index.md")
+    own = files.select("ID", F.when(index, F.regexp_extract(folder, r"^(.*)/[^/]+$", 1)).otherwise(folder).alias("__dir"))
+    heads = files.where(index).select(folder.alias("__dir"), F.col("ID").alias("parent"))
+    return own.join(heads, "__dir", "left").select("ID", "parent")
+
+
+def recoverable(nodes: DataFrame, root: int, least: int, limit: int) -> DataFrame:
+    """(ID, depth) below root with an id of at least `least`, parents first, the first `limit`."""
+    up = ancestors(nodes)
+    depth = up.groupBy("ID").agg(F.max("distance").alias("depth"))
+    under = up.where(F.col("ancestor") == root).select("ID")
+    return depth.join(under, "ID", "left_semi").where(F.col("ID") >= least).orderBy("depth", "ID").limit(limit)

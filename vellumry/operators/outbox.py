@@ -111,3 +111,8 @@ def normalized(events: DataFrame) -> DataFrame:
     return events.withColumn("tables", F.array_sort(F.array_distinct("tables"))).dropDuplicates(["event_id"])
 
 
+
+
+def fenced(claims: DataFrame) -> DataFrame:
+    """(resource, fence, stale): the token that holds each resource, and how many older ones it shuts out."""
+    return claims.groupBy("resource").agg(F.max("fence").alias("fence"), (F.count(F.lit(1)) - 1).alias("stale"))

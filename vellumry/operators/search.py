@@ -57,3 +57,17 @@ def with_content(rows: DataFrame, contents: DataFrame) -> DataFrame:
     """Fill in empty or missing post_content of rows by ID."""
     own = contents.select("ID", F.col("post_content").alias("__stored"))
     return rows.join(own, "ID", "left").withColumn("post_content", F.coalesce(F.nullif("post_content", F.lit("")), "__stored")).drop("__stored")
+
+
+def where_like(posts: DataFrame, pattern: str, text: str = "post_content") -> DataFrame:
+    """Rows that match LIKE pattern without case; a %literal% pattern becomes a plain contains."""
+    needle = needle_of_pattern(pattern)
+    if needle is None:
+        return posts.where(F.ilike(F.col(text), F.lit(pattern)))
+    return posts.where(contains_nocase(F.col(text), needle)) if needle else posts.where(F.lit(False))
+
+
+def counts_of(posts: DataFrame, needles: list[str], text: str = "post_content") -> DataFrame:
+    """(needle, n) of texts that hold each needle, in one pass; empty needles and those that nothing holds are left out."""
+    found = F.array_compact(F.array(*[F.when(contains_nocase(F.col(text), x), F.lit(x)) for x in dict.fromkeys(needles) if x]))
+    return posts.select(F.explode(found).alias("needle")).groupBy("needle").agg(F.count(F.lit(1)).alias("n"))

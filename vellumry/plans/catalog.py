@@ -1,20 +1,6 @@
-"""Registered queries for the reference capabilities, each with the SQL that gives the same rows."""
+"""All registered queries for content stores; the modules named here add theirs as they are imported."""
 
-from __future__ import annotations
+from vellumry.plans import changes, reads, relations, surface  # noqa: F401
+from vellumry.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def p11_content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.where(F.contains(F.lower("text"), F.lit("there"))).select("doc_id").orderBy("doc_id")
-
-
-QUERIES["p11_content_search"] = p11_content_search
-ORACLE["p11_content_search"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'there') ORDER BY doc_id"
+__all__ = ["ORACLE", "QUERIES"]
