@@ -35,16 +35,17 @@ _P = 0x9E3779B97F4A7C15
 
 
 def features(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, place) of words, of repeated words, then of the n-grams of each length; place is that of the feature's first character in codepoints(texts)."""
-    cp, _ = tn.codepoints(texts)
+    """(bucket, place) of words, of repeated words, then of the n-grams of each length; place is that of the word's first character in codepoints(texts), of an
+    n-gram's second one: its first may be the mark before the text."""
+    cp = np.r_[np.uint32(10), tn.codepoints(texts)[0]]
     space = tn.spaces(cp)
     c = np.where(space, np.uint32(32), cp).astype(U)
     edge = np.flatnonzero(np.diff((~space).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     begin, end = edge[0::2], edge[1::2]
-    yield (tn.hashed_spans(c.astype(np.uint32), begin, end) % U(BUCKETS)).astype(np.int32), begin
+    yield (tn.hashed_spans(c.astype(np.uint32), begin, end) % U(BUCKETS)).astype(np.int32), begin - 1
     own = tn.hashed_spans(tn.folded(cp)[0], begin, end)
     again = begin[1:][own[1:] == own[:-1]]
-    yield np.full(len(again), AGAIN, np.int32), again
+    yield np.full(len(again), AGAIN, np.int32), again - 1
     gram = c[:-1] + c[1:] * U(_P) if len(c) > 1 else np.zeros(0, U)
     for n in range(3, max(N) + 1):
         if len(c) < n:
