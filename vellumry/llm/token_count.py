@@ -212,6 +212,8 @@ class Encoder:
 
     def places(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """For every pre-token, its number among the remembered ones, and its text. Holds until the next call."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         begin, end, doc, cp = pieces(texts)
         h, first, back = np.unique(tn.hashed_spans(cp, begin, end), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
