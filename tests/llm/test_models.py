@@ -101,3 +101,11 @@ def test_lm_odd_rows(spark):
     assert {r.doc_id for r in rows if r.mean_score is None} == {1, 2, 3, 4} and all(r.score <= 0 for r in rows)
     assert next(r.n_words for r in rows if r.doc_id == 5) == 30_000
     assert lm_score.score(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_lm_masks_every_place_once():
+    texts = ["one two three", "four", " ".join(words(500, 4))]
+    sym, ctx, _ = lm_score.contexts(lm_score.encode(texts, np.zeros(0, np.uint64)))
+    own = np.arange(len(sym))[:, None]  # in place of the contexts, to tell the places apart
+    seen = np.concatenate([lm_score.masked(sym, own, turn)[0].ravel() for turn in range(lm_score.ROUNDS)])
+    assert sorted(seen) == list(range(504))

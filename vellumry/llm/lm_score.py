@@ -7,9 +7,9 @@ Network. For a place, the vectors of the SIDE words before and behind it (the ow
 through tanh to a softmax over FREQUENT + 1 classes; a rare word's log-probability adds the log of its bucket's share among the rare. A document's
 score is the sum over all its places.
 
-Training. In each of ROUNDS rounds every task masks one place in EVERY of all its documents, chosen by a hash that differs from round to round, trains by
-Adagrad in numpy from the shared weights, and the tasks' weights are averaged by their numbers of places. So all documents are learnt from, what is gathered
-grows with the input, and the driver receives one network per round, whatever the number of tasks.
+Training. A hash deals the places of all documents out to ROUNDS rounds, so every place is masked in exactly one of them. In each round every task trains by
+Adagrad in numpy on its places from the shared weights, and the tasks' weights are averaged by their numbers of places. So every word of every document is learnt
+from once, and the driver receives one network per round, whatever the number of tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from vellumry.llm import textnum as tn
 from vellumry.llm.common import materialize, prepare
 
 FREQUENT, BUCKETS, SHAPES, SIDE, HIDDEN = 127, 4096, 64, 2, 24
-ROUNDS, EVERY, BATCH, STEP = 2, 16, 512, 0.1
+ROUNDS, BATCH, STEP = 2, 512, 0.1
 #: Context symbols: frequent words, rare ones by hash, and the edge of the document.
 CONTEXTS = FREQUENT + SHAPES + 1
 _EDGE = CONTEXTS - 1
@@ -188,9 +188,9 @@ class Trainer:
 
 
 def masked(sym: np.ndarray, ctx: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and classes of the places masked in this round: those whose hash of place and context falls to it."""
-    key = tn.mix((np.arange(len(sym), dtype=np.uint64) << np.uint64(20)) + sym.astype(np.uint64) + np.uint64(turn << 58))
-    at = np.flatnonzero(key % np.uint64(EVERY) == 0)
+    """Contexts and classes of the places masked in this round; each place falls to one of the ROUNDS rounds, by a hash of place and word."""
+    key = tn.mix((np.arange(len(sym), dtype=np.uint64) << np.uint64(20)) + sym.astype(np.uint64))
+    at = np.flatnonzero(key % np.uint64(ROUNDS) == turn)
     return ctx[at], np.minimum(sym[at], FREQUENT)
 
 
