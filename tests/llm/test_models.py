@@ -109,3 +109,35 @@ def test_lm_masks_every_place_once():
     own = np.arange(len(sym))[:, None]  # in place of the contexts, to tell the places apart
     seen = np.concatenate([lm_score.masked(sym, own, turn)[0].ravel() for turn in range(lm_score.ROUNDS)])
     assert sorted(seen) == list(range(504))
+
+
+def test_lm_predicts_words_beyond_the_most_frequent_from_context(spark):
+    # 400 pairs of words, all alike frequent and most of them beyond the first level: only the partner tells which word follows.
+    rng = np.random.default_rng(6)
+    pairs = [(f"left{k}", f"right{k}") for k in range(400)]
+    texts = [" ".join(" ".join(pairs[k]) for k in rng.integers(0, 400, 20)) for _ in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(1)
+    vocab = lm_score.vocabulary(docs)
+    encoded = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(lm_score.encode(texts, vocab["frequent"]))], "doc_id long, words binary").coalesce(1)
+    net = lm_score.train(encoded, vocab)
+    score = lambda t: lm_score.log_probabilities(lm_score.encode(t, vocab["frequent"]), net, vocab)
+    right, wrong = [f"{a} {b}" for a, b in pairs], [f"{a} {pairs[k - 1][1]}" for k, (a, _) in enumerate(pairs)]
+    rare = [k for k, (a, b) in enumerate(pairs) if min(np.frombuffer(lm_score.encode([f"{a} {b}"], vocab["frequent"])[0], np.uint32)) >= lm_score.FREQUENT]
+    gain = (score(right) - score(wrong))[rare]
+    assert len(rare) > 250 and (gain > 0).mean() > 0.9
+    # A nonsense word is less likely than any of the corpus in its place.
+    assert score(["left7 zzgrmpf"])[0] < score(["left7 right7"])[0] - 2
+
+
+def test_lm_levels_sum_to_one():
+    rng = np.random.default_rng(1)
+    draw = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1])).astype(np.float32)
+    vocab = {"classes": draw(lm_score.FREQUENT + lm_score.CLASSES), "members": draw(lm_score.CLASSES, lm_score.MEMBERS), "parts": draw(lm_score.BUCKETS, lm_score.FINE)}
+    net = lm_score.start(vocab)
+    net["third"] = rng.normal(0, 0.3, net["third"].shape).astype(np.float32)
+    every = np.arange(lm_score.KNOWN + lm_score.BUCKETS * lm_score.FINE)
+    total = 0.0
+    for s in np.array_split(every, 40):
+        h = lm_score._hidden(net, np.tile([[3, 500, 9000, 12]], (len(s), 1)))
+        total += np.exp(lm_score._Path(net, vocab, h, s).total(net, h)).sum()
+    assert abs(total - 1) < 1e-3

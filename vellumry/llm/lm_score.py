@@ -1,11 +1,12 @@
 """Masked pseudo-likelihood: how well a bidirectional network predicts each word of a document from the words on both sides.
 
-Vocabulary. Words are counted over the whole corpus. The FREQUENT most frequent ones are symbols of their own; all others share the output class "rare", and
-behind it BUCKETS hashed symbols whose shares are counted over the corpus, too.
+Vocabulary. Words are counted over the whole corpus. The KNOWN most frequent ones are leaves of their own; all others share BUCKETS hashed leaves, and below
+each of these FINE hashed parts whose shares are counted over the corpus, too.
 
-Network. For a place, the vectors of the SIDE words before and behind it (the own word is masked) are summed up, with a table per distance, and go
-through tanh to a softmax over FREQUENT + 1 classes; a rare word's log-probability adds the log of its bucket's share among the rare. A document's
-score is the sum over all its places.
+Network. For a place, the vectors of the leaves of the SIDE words before and behind it (the own word is masked) are summed up, with a table per distance, and
+go through tanh to three softmaxes that all read this hidden layer. The first has the FREQUENT most frequent words and CLASSES classes of MEMBERS leaves each;
+the second, with vectors of its own for each class, has the class's leaves; the third, for words that aren't known, has the bucket's parts, from the log of their
+shares on. A word's log-probability is the sum along its path, so the context counts for every word; a document's score is the sum over all its places.
 
 Training. A hash deals the places of all documents out to ROUNDS rounds, so every place is masked in exactly one of them. In each round every task trains by
 Adagrad in numpy on its places from the shared weights, and the tasks' weights are averaged by their numbers of places. So every word of every document is learnt
@@ -26,10 +27,15 @@ from pyspark.sql import functions as F
 from vellumry.llm import textnum as tn
 from vellumry.llm.common import materialize, prepare
 
-FREQUENT, BUCKETS, SHAPES, SIDE, HIDDEN = 127, 4096, 64, 2, 24
-ROUNDS, BATCH, STEP = 2, 512, 0.1
-#: Context symbols: frequent words, rare ones by hash, and the edge of the document.
-CONTEXTS = FREQUENT + SHAPES + 1
+FREQUENT, MEMBERS, HASHED, FINE, SIDE, HIDDEN = 127, 128, 32, 64, 2, 24
+#: Classes of known words and, behind them, HASHED classes of buckets.
+CLASSES = 64 + HASHED
+KNOWN, BUCKETS = FREQUENT + (CLASSES - HASHED) * MEMBERS, HASHED * MEMBERS
+ROUNDS, BATCH, STEP = 2, 8192, 0.1
+#: Places whose first level is held at a time, so that it stays in a core's cache.
+SLICE = 512
+#: Context symbols: all leaves, and the edge of the document.
+CONTEXTS = KNOWN + BUCKETS + 1
 _EDGE = CONTEXTS - 1
 _SALTS = 64
 
@@ -56,33 +62,51 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame) -> dict:
-    """Hashes of the frequent words, log shares of classes and of the rare words' buckets, counted over all texts."""
+    """Hashes of the known words, the most frequent first, and log shares of the first level, of the leaves in their class and of the parts in their bucket."""
     counts = materialize(docs.select("text").mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    frequent = np.array([r.h for r in top], np.int64).view(np.uint64)
-    bucket = F.expr(f"h & {BUCKETS - 1}")
-    total = np.zeros(BUCKETS)
-    for r in counts.groupBy(bucket.cast("int").alias("b")).agg(F.sum("n").alias("n")).collect():
-        total[r.b] = r.n
-    for r in top:
-        total[r.h & BUCKETS - 1] -= r.n
-    order = np.argsort(frequent)
-    share = np.zeros(FREQUENT + 1)
-    share[order.argsort()[np.arange(len(top))]] = [r.n for r in top]
-    share[FREQUENT] = total.sum()
-    return {"frequent": frequent[order], "classes": np.log((share + 0.5) / (share.sum() + 0.5 * len(share))), "rare": np.log((total + 0.5) / (total.sum() + 0.5 * BUCKETS))}
+    top = counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()
+    known = np.array([r.h for r in top], np.int64).view(np.uint64)
+    often = np.array([r.n for r in top], np.float64)
+    total = np.zeros(BUCKETS * FINE)
+    parts = counts.groupBy(F.expr(f"h & {BUCKETS * FINE - 1}").cast("int").alias("b")).agg(F.sum("n").alias("n")).toArrow()
+    total[parts["b"].to_numpy()] = parts["n"].to_numpy()
+    np.subtract.at(total, (known & np.uint64(BUCKETS * FINE - 1)).astype(np.int64), often)
+    parts = total.reshape(BUCKETS, FINE)
+    leaf = np.zeros(KNOWN + BUCKETS)
+    leaf[: len(often)], leaf[KNOWN:] = often, parts.sum(axis=1)
+    first, member = place_of(np.arange(len(leaf)))
+    inner = np.zeros((CLASSES, MEMBERS))
+    inner[first[FREQUENT:] - FREQUENT, member[FREQUENT:]] = leaf[FREQUENT:]
+    share = lambda n: np.log((n + 0.5) / (n + 0.5).sum(axis=-1, keepdims=True)).astype(np.float32)
+    return {"frequent": known, "classes": share(np.bincount(first, leaf, FREQUENT + CLASSES)), "members": share(inner), "parts": share(parts)}
+
+
+def place_of(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each leaf its output on the first level, and its number in its class (of no meaning for the FREQUENT). Known words are dealt out to their classes."""
+    k, b = leaf - FREQUENT, leaf - KNOWN
+    deal = CLASSES - HASHED
+    first = np.where(k < 0, leaf, FREQUENT + np.where(b < 0, k % deal, deal + b // MEMBERS))
+    return first, np.where(b < 0, k // deal, b % MEMBERS)
+
+
+def leaves(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol its leaf, and the part of its bucket (of no meaning for known words)."""
+    b = sym - KNOWN
+    return np.where(b < 0, sym, KNOWN + b // FINE), b % FINE
 
 
 def encode(texts: list, frequent: np.ndarray) -> list[bytes]:
-    """Of each text its symbols, uint16: the number of a frequent word, or FREQUENT + bucket."""
+    """Of each text its symbols, uint32: the number of a known word, or KNOWN + bucket * FINE + part."""
     out = []
+    order = np.argsort(frequent)
+    known = frequent[order]
     for i, j in tn.chunks(texts):
         h, doc, *_ = tn.words(texts[i:j])
-        sym = (FREQUENT + (h & np.uint64(BUCKETS - 1)).astype(np.int64)).astype(np.uint16)
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-            hit = frequent[at] == h
-            sym[hit] = at[hit]
+        sym = (KNOWN + (h & np.uint64(BUCKETS * FINE - 1)).astype(np.int64)).astype(np.uint32)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            sym[hit] = order[at[hit]]
         cut = np.searchsorted(doc, np.arange(j - i + 1))
         out += [sym[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
     return out
@@ -99,18 +123,24 @@ def start(vocab: dict, seed: int = 1) -> dict[str, np.ndarray]:
     return {
         "tables": rng.normal(0, 0.3, (2 * SIDE, CONTEXTS, HIDDEN)).astype(np.float32),
         "inner": np.zeros(HIDDEN, np.float32),
-        "layer": rng.normal(0, 0.1, (HIDDEN, FREQUENT + 1)).astype(np.float32),
+        "layer": rng.normal(0, 0.1, (HIDDEN, FREQUENT + CLASSES)).astype(np.float32),
         "outer": vocab["classes"].astype(np.float32),
+        "second": rng.normal(0, 0.1, (CLASSES, HIDDEN, MEMBERS)).astype(np.float32),
+        "members": vocab["members"].astype(np.float32),
+        "third": np.zeros((HIDDEN, FINE), np.float32),
     }
 
 
+_NAMES = ("tables", "inner", "layer", "outer", "second", "members", "third")
+
+
 def _flat(net: dict) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in ("tables", "inner", "layer", "outer")])
+    return np.concatenate([net[k].ravel() for k in _NAMES])
 
 
 def _shaped(flat: np.ndarray, like: dict) -> dict:
     out, a = {}, 0
-    for k in ("tables", "inner", "layer", "outer"):
+    for k in _NAMES:
         out[k] = flat[a : a + like[k].size].reshape(like[k].shape).astype(np.float32)
         a += like[k].size
     return out
@@ -118,13 +148,13 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
 
 def contexts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All documents' symbols, the (n, 2 * SIDE) contexts of their places, and the document of each place."""
-    sizes = np.array([len(b) // 2 for b in blobs], np.int64)
-    sym = np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64)
+    sizes = np.array([len(b) // 4 for b in blobs], np.int64)
+    sym = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
     doc = np.repeat(np.arange(len(blobs)), sizes)
     place = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     size = np.repeat(sizes, sizes)
-    seen = np.where(sym < FREQUENT, sym, FREQUENT + (sym - FREQUENT) % SHAPES)
-    ctx = np.full((len(sym), 2 * SIDE), _EDGE, np.int64)
+    seen = leaves(sym)[0].astype(np.uint16)
+    ctx = np.full((len(sym), 2 * SIDE), _EDGE, np.uint16)
     for d in range(1, SIDE + 1):
         before, behind = place >= d, place + d < size
         ctx[before, SIDE - d] = seen[np.flatnonzero(before) - d]
@@ -132,16 +162,70 @@ def contexts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sym, ctx, doc
 
 
-def _forward(net: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and log-probabilities of all classes."""
+def _sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits and their sums, each row shifted where it would leave the range of floats; z is shifted with it."""
+    most = z.max(axis=1, keepdims=True)
+    if len(z) and max(most.max(), -most.min()) > 60:
+        z -= most
+    e = np.exp(z)
+    return e, e.sum(axis=1, keepdims=True)
+
+
+def _hidden(net: dict, ctx: np.ndarray) -> np.ndarray:
     h = np.repeat(net["inner"][None], len(ctx), axis=0)
     for d in range(ctx.shape[1]):
-        h += net["tables"][d][ctx[:, d]]
-    np.tanh(h, out=h)
-    z = h @ net["layer"] + net["outer"]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return h, z
+        h += net["tables"][d].take(ctx[:, d], axis=0)
+    return np.tanh(h, out=h)
+
+
+def _logits(net: dict, h: np.ndarray) -> np.ndarray:
+    """The first level's."""
+    z = h @ net["layer"]
+    z += net["outer"]
+    return z
+
+
+def _forward(net: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden layer and log-probabilities of the first level."""
+    h = _hidden(net, ctx)
+    z = _logits(net, h)
+    total = _sums(z)[1]
+    return h, z - np.log(total)
+
+
+class _Path:
+    """The lower levels' logits along the paths of words: `inner` are the places with a second level, by class, `hashed` those with a third."""
+
+    def __init__(self, net: dict, vocab: dict, h: np.ndarray, sym: np.ndarray):
+        leaf, part = leaves(sym)
+        self.first, member = place_of(leaf)
+        inner = np.flatnonzero(leaf >= FREQUENT)
+        self.inner = inner[np.argsort(self.first[inner], kind="stable")]
+        self.member = member[self.inner]
+        cls = self.first[self.inner] - FREQUENT
+        at = np.searchsorted(cls, np.arange(CLASSES + 1))
+        self.runs = [(c, a, b) for c, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+        self.h2 = h.take(self.inner, axis=0)
+        self.z2 = np.empty((len(cls), MEMBERS), np.float32)
+        for c, a, b in self.runs:
+            np.matmul(self.h2[a:b], net["second"][c], out=self.z2[a:b])
+            self.z2[a:b] += net["members"][c]
+        self.hashed = np.flatnonzero(leaf >= KNOWN)
+        self.part = part[self.hashed]
+        self.h3 = h[self.hashed]
+        self.z3 = self.h3 @ net["third"] + vocab["parts"][leaf[self.hashed] - KNOWN]
+
+    def total(self, net: dict, h: np.ndarray) -> np.ndarray:
+        """The log-probability of each word."""
+        p = np.concatenate([_chosen(_logits(net, h[x : x + SLICE]), self.first[x : x + SLICE]) for x in range(0, len(h), SLICE)])
+        p[self.inner] += _chosen(self.z2, self.member)
+        p[self.hashed] += _chosen(self.z3, self.part)
+        return p
+
+
+def _chosen(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    total = _sums(z)[1]
+    return z[np.arange(len(z)), target].astype(np.float64) - np.log(total[:, 0])
 
 
 def _groups(blobs: list, limit: int = 1 << 17) -> Iterator[list[bytes]]:
@@ -149,7 +233,7 @@ def _groups(blobs: list, limit: int = 1 << 17) -> Iterator[list[bytes]]:
     own, size = [], 0
     for b in blobs:
         own.append(b or b"")
-        size += len(own[-1]) // 2
+        size += len(own[-1]) // 4
         if size >= limit:
             yield own
             own, size = [], 0
@@ -157,62 +241,93 @@ def _groups(blobs: list, limit: int = 1 << 17) -> Iterator[list[bytes]]:
         yield own
 
 
+def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+    """The gradient of n places' mean loss by the logits."""
+    g, total = _sums(z)
+    g *= np.float32(1 / n) / total
+    g[np.arange(len(target)), target] -= np.float32(1 / n)
+    return g
+
+
 class Trainer:
     """Adagrad over minibatches of masked places."""
 
-    def __init__(self, net: dict):
+    def __init__(self, net: dict, vocab: dict):
         self.net = {k: v.copy() for k, v in net.items()}
-        self.sums = {k: np.full(v.shape, 0.1, np.float32) for k, v in net.items()}
+        self.vocab = vocab
+        self.sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in net.items()}
         self.places = 0
 
-    def _step(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
-        self.sums[name][at] += grad * grad
-        self.net[name][at] -= STEP * grad / np.sqrt(self.sums[name][at])
+    def _step(self, name: str, grad: np.ndarray) -> None:
+        self.sums[name] += grad * grad
+        grad *= np.float32(STEP)
+        grad /= np.sqrt(self.sums[name])
+        self.net[name] -= grad
+
+    def _step_rows(self, d: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        table, sums = self.net["tables"][d], self.sums["tables"][d]
+        now = sums.take(rows, axis=0) + grad * grad
+        sums[rows] = now
+        table[rows] = table.take(rows, axis=0) - np.float32(STEP) * grad / np.sqrt(now)
 
     def learn(self, ctx: np.ndarray, target: np.ndarray) -> None:
+        net = self.net
         for a in range(0, len(ctx), BATCH):
             c, t = ctx[a : a + BATCH], target[a : a + BATCH]
-            h, z = _forward(self.net, c)
-            g = np.exp(z)
-            g[np.arange(len(t)), t] -= 1
-            g /= np.float32(len(t))
-            back = (g @ self.net["layer"].T) * (1 - h * h)
-            self._step("layer", h.T @ g)
-            self._step("outer", g.sum(axis=0))
-            self._step("inner", back.sum(axis=0))
+            h = _hidden(net, c)
+            path = _Path(net, self.vocab, h, t)
+            g2, g3 = _error(path.z2, path.member, len(t)), _error(path.z3, path.part, len(t))
+            back, back2 = np.empty_like(h), np.empty_like(path.h2)
+            layer, outer = np.zeros_like(net["layer"]), np.zeros_like(net["outer"])
+            for x in range(0, len(t), SLICE):
+                own = h[x : x + SLICE]
+                g = _error(_logits(net, own), path.first[x : x + SLICE], len(t))
+                np.matmul(g, net["layer"].T, out=back[x : x + SLICE])
+                layer += own.T @ g
+                outer += g.sum(axis=0)
+            second, members = np.zeros_like(net["second"]), np.zeros_like(net["members"])
+            for k, x, y in path.runs:
+                np.matmul(g2[x:y], net["second"][k].T, out=back2[x:y])
+                np.matmul(path.h2[x:y].T, g2[x:y], out=second[k])
+                members[k] = g2[x:y].sum(axis=0)
+            back[path.inner] += back2
+            back[path.hashed] += g3 @ net["third"].T
+            back *= 1 - h * h
+            for name, grad in (("second", second), ("members", members), ("third", path.h3.T @ g3), ("layer", layer), ("outer", outer), ("inner", back.sum(axis=0))):
+                self._step(name, grad)
             for d in range(c.shape[1]):
-                one = np.zeros((CONTEXTS, len(t)), np.float32)
-                one[c[:, d], np.arange(len(t))] = 1
-                self._step("tables", one @ back, d)
+                own = np.ascontiguousarray(c[:, d])
+                order = np.argsort(own, kind="stable")
+                own = own[order]
+                at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                self._step_rows(d, own[at], np.add.reduceat(back.take(order, axis=0), at, axis=0))
             self.places += len(t)
 
 
 def masked(sym: np.ndarray, ctx: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and classes of the places masked in this round; each place falls to one of the ROUNDS rounds, by a hash of place and word."""
+    """Contexts and symbols of the places masked in this round; each place falls to one of the ROUNDS rounds, by a hash of place and word."""
     key = tn.mix((np.arange(len(sym), dtype=np.uint64) << np.uint64(20)) + sym.astype(np.uint64))
     at = np.flatnonzero(key % np.uint64(ROUNDS) == turn)
-    return ctx[at], np.minimum(sym[at], FREQUENT)
+    return ctx[at], sym[at]
 
 
 def _trained(shared, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trainer = Trainer(pickle.loads(shared.value))
+    trainer = Trainer(*pickle.loads(shared.value))
     for b in batches:
         for blobs in _groups(b.column(0).to_pylist()):
             sym, ctx, _ = contexts(blobs)
             trainer.learn(*masked(sym, ctx, turn))
     if trainer.places:
-        flat = _flat(trainer.net).astype(np.float64) * trainer.places
-        parts = np.array_split(flat, 16)
+        parts = np.array_split(_flat(trainer.net), 16)
         salt = TaskContext.get().partitionId() % _SALTS
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([salt] * 16, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([trainer.places] * 16, pa.int64())], names=["part", "salt", "weights", "places"])
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros(0)
-    for w in table.column("weights"):
-        x = np.frombuffer(w.as_py())
-        total = total + x if len(total) else x
-    row = {"part": [table.column("part")[0].as_py()], "salt": [0], "weights": [total.tobytes()], "places": [sum(table.column("places").to_pylist())]}
+def _averaged(table: pa.Table) -> pa.Table:
+    """The mean of the weights, each counted by its places."""
+    places = table.column("places").to_numpy()
+    total = sum(np.frombuffer(w.as_buffer(), np.float32) * (n / places.sum()) for w, n in zip(table.column("weights"), places))
+    row = {"part": [table.column("part")[0].as_py()], "salt": [0], "weights": [total.astype(np.float32).tobytes()], "places": [int(places.sum())]}
     return pa.Table.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("salt", pa.int32()), ("weights", pa.binary()), ("places", pa.int64())]))
 
 
@@ -224,14 +339,14 @@ def train(encoded: DataFrame, vocab: dict) -> dict:
     sc = encoded.sparkSession.sparkContext
     net = start(vocab)
     for turn in range(ROUNDS):
-        shared = sc.broadcast(pickle.dumps(net, protocol=5))
+        shared = sc.broadcast(pickle.dumps((net, vocab), protocol=5))
         local = encoded.select("words").mapInArrow(lambda it, s=shared, t=turn: _trained(s, t, it), _SUMS)
         # In two steps, so that no task adds up the networks of all others.
-        parts = local.groupBy("part", "salt").applyInArrow(_summed, _SUMS).groupBy("part").applyInArrow(_summed, _SUMS).collect()
+        parts = local.groupBy("part", "salt").applyInArrow(_averaged, _SUMS).groupBy("part").applyInArrow(_averaged, _SUMS).collect()
         if not parts:
             return net
         parts.sort(key=lambda r: r.part)
-        net = _shaped(np.concatenate([np.frombuffer(bytes(r.weights)) for r in parts]) / parts[0].places, net)
+        net = _shaped(np.concatenate([np.frombuffer(bytes(r.weights), np.float32) for r in parts]), net)
     return net
 
 
@@ -240,11 +355,8 @@ def log_probabilities(blobs: list[bytes], net: dict, vocab: dict) -> np.ndarray:
     out = np.zeros(len(blobs))
     sym, ctx, doc = contexts(blobs)
     for a in range(0, len(sym), 8192):
-        s = sym[a : a + 8192]
-        _, z = _forward(net, ctx[a : a + 8192])
-        p = z[np.arange(len(s)), np.minimum(s, FREQUENT)].astype(np.float64)
-        rare = s >= FREQUENT
-        p[rare] += vocab["rare"][s[rare] - FREQUENT]
+        h = _hidden(net, ctx[a : a + 8192])
+        p = _Path(net, vocab, h, sym[a : a + 8192]).total(net, h)
         out += np.bincount(doc[a : a + 8192], p, minlength=len(blobs))
     return out
 
@@ -254,7 +366,7 @@ def _scored(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for b in batches:
         blobs = b.column(1).to_pylist()
         score = np.concatenate([log_probabilities(g, net, vocab) for g in _groups(blobs)] or [np.zeros(0)])
-        n = np.array([len(x or b"") // 2 for x in blobs], np.int64)
+        n = np.array([len(x or b"") // 4 for x in blobs], np.int64)
         mean = np.where(n > 0, score / np.maximum(n, 1), np.nan)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(score), pa.array(mean, from_pandas=True)], names=["doc_id", "n_words", "score", "mean_score"])
 
