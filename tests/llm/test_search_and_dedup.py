@@ -91,6 +91,21 @@ def test_simhash_odd_rows(spark):
     assert simhash.groups(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+def test_simhash_ids_that_repeat_with_unlike_texts(spark):
+    x, a, b = (" ".join(words(60, seed)) for seed in (31, 32, 33))
+    rows = [(2, x), (5, x), (5, a), (7, a), (8, b), (8, None), (9, ""), (9, None), (4, b + " more"), (4, b + " more")]
+    found = {r.doc_id: r.group_id for r in simhash.groups(clashing(spark, rows)).collect()}
+    assert found == {2: 2, 5: 2, 7: 2, 4: 4, 8: 4, 9: 9}
+    # One row of each text stays: no group vanishes with the group of another text of its id.
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicate(clashing(spark, rows)).collect()]
+    assert sorted(k for k in kept if k[0] != 9) == sorted([(2, x), (5, a), (4, b + " more"), (8, None)], key=lambda k: (k[0], k[1] or ""))
+    assert len([k for k in kept if k[0] == 9]) == 1
+    # Two texts that both have an id first are two groups of texts, and one of ids.
+    rows = [(1, x), (1, a), (2, a)]
+    assert {r.doc_id: r.group_id for r in simhash.groups(clashing(spark, rows)).collect()} == {1: 1, 2: 1}
+    assert sorted((r.doc_id, r.text) for r in simhash.deduplicate(clashing(spark, rows)).collect()) == sorted([(1, x), (1, a)])
+
+
 def test_components_of_a_chain_and_repeats(spark):
     edges = [(i, i + 1) for i in range(40)] + [(3, 3), (1, 0), (100, 101)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -77,13 +77,13 @@ def _signed(a: np.ndarray) -> np.ndarray:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp, n = fingerprints(b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(fp[:, 0].copy())), pa.array(_signed(fp[:, 1].copy())), pa.array(n)], names=["doc_id", "f0", "f1", "n_words"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(fp[:, 0].copy())), pa.array(_signed(fp[:, 1].copy())), pa.array(n), b.column(2)], names=["doc_id", "f0", "f1", "n_words", "hash"])
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, n_words) for every row of docs; only doc_id and text are read. A null or wordless text has fingerprint 0 and n_words 0."""
+    """(doc_id, f0, f1, n_words, hash of the text) for every row of docs; only doc_id and text are read. A null or wordless text has fingerprint 0 and n_words 0."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches, "doc_id long, f0 long, f1 long, n_words long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(_fingerprint_batches, "doc_id long, f0 long, f1 long, n_words long, hash long")
 
 
 @lru_cache(maxsize=1)
@@ -211,29 +211,44 @@ def near_pairs(distinct: DataFrame, n: int) -> DataFrame:
     return placed.mapInArrow(_match_parts, "a0 long, a1 long, b0 long, b1 long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id, n_words) for every row of docs with a doc_id: group_id is the least doc_id of its group of near copies.
+def _text_groups(fps: DataFrame) -> DataFrame:
+    """(f0, f1, root) for each distinct fingerprint of texts with words: root is the least (doc_id, f0, f1) of its group of near copies.
 
-    Null and wordless texts are no copies of each other: their group is their own doc_id. Rows that share a doc_id share what the least
-    fingerprint among them gives. Rows with a null doc_id are left out. An empty table gives an empty result.
+    A group's node is more than a doc_id, which may have texts of several groups.
     """
-    fps = materialize(fingerprint_table(docs), "fingerprints")
-    some = fps.where("n_words > 0 AND doc_id IS NOT NULL")
-    distinct = materialize(some.groupBy("f0", "f1").agg(F.min("doc_id").alias("first"), F.max("n_words").alias("n_words")), "distinct")
+    distinct = materialize(fps.where("n_words > 0 AND doc_id IS NOT NULL").groupBy("f0", "f1").agg(F.min("doc_id").alias("first"), F.max("n_words").alias("n_words")), "distinct")
     n = distinct.count()
     # Texts of few words match only exactly; they take no part in the search.
     pairs = materialize(near_pairs(distinct.where(F.col("n_words") >= LEAST_WORDS), n), "pairs")
-    names = distinct.select("f0", "f1", "first")
+    names = distinct.select("f0", "f1", F.struct("first", "f0", "f1").alias("node"))
     edges = (
         pairs.distinct()
-        .join(names.select(F.col("f0").alias("a0"), F.col("f1").alias("a1"), F.col("first").alias("u")), ["a0", "a1"])
-        .join(names.select(F.col("f0").alias("b0"), F.col("f1").alias("b1"), F.col("first").alias("v")), ["b0", "b1"])
+        .join(names.select(F.col("f0").alias("a0"), F.col("f1").alias("a1"), F.col("node").alias("u")), ["a0", "a1"])
+        .join(names.select(F.col("f0").alias("b0"), F.col("f1").alias("b1"), F.col("node").alias("v")), ["b0", "b1"])
         .select("u", "v")
     )
-    roots = components(edges)
-    labelled = names.join(roots, F.col("first") == F.col("node"), "left").select("f0", "f1", F.coalesce("root", "first").alias("root"))
-    found = some.join(labelled, ["f0", "f1"]).groupBy("doc_id").agg(F.min("root").alias("group_id"), F.max("n_words").alias("n_words"))
-    # A doc_id that stands for its group may itself have a smaller group by another of its rows; one step settles ids that repeat.
+    roots = components(edges).withColumnRenamed("node", "member")
+    return names.join(roots, F.col("node") == F.col("member"), "left").select("f0", "f1", F.coalesce("root", "node").alias("root"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, group_id, n_words) for every row of docs with a doc_id: group_id is the least doc_id of its group of near copies.
+
+    Null and wordless texts are no copies of each other: their group is their own doc_id. Rows that share a doc_id share a group, so an id with
+    unlike texts joins their groups into one. Rows with a null doc_id are left out. An empty table gives an empty result.
+    """
+    fps = materialize(fingerprint_table(docs), "fingerprints")
+    labelled = _text_groups(fps).select("f0", "f1", F.col("root.first").alias("group"))
+    found = materialize(
+        fps.where("n_words > 0 AND doc_id IS NOT NULL").join(labelled, ["f0", "f1"]).groupBy("doc_id").agg(F.min("group").alias("group_id"), F.max("group").alias("most"), F.max("n_words").alias("n_words")), "found"
+    )
+    several = found.where("group_id <> most").select("doc_id")
+    if not several.isEmpty():
+        # Ids with texts of several groups: each links all of them.
+        links = fps.where("n_words > 0").join(several, "doc_id").join(labelled, ["f0", "f1"]).select(F.col("doc_id").alias("u"), F.col("group").alias("v"))
+        joined = components(links).where("node <> root").select(F.col("node").alias("group_id"), "root")
+        found = found.join(joined, "group_id", "left").select("doc_id", F.coalesce("root", "group_id").alias("group_id"), "n_words")
+    found = found.select("doc_id", "group_id", "n_words")
     alone = fps.where("n_words = 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(found, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_words"))
     return found.unionByName(alone)
 
@@ -241,14 +256,19 @@ def groups(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each group of near copies one row, of the least doc_id; columns as they came.
 
-    Rows with a null doc_id, and null or wordless texts, are kept, though of rows that repeat a doc_id one stays. Among those the row with
-    the least hash of its text stays. Extra columns, whatever their names, pass through.
+    Groups are of texts, whatever their ids: a doc_id with unlike texts may keep a row in each of their groups. Of a group's rows with the least doc_id
+    the one with the least hash of its text stays. Rows with a null doc_id are kept, and so are null or wordless texts, one row of each doc_id. Extra
+    columns, whatever their names, pass through.
     """
-    g = groups(docs).where("doc_id = group_id").select(F.col("doc_id").alias(key := fresh(docs, "kept")))
-    named = docs.where(docs["doc_id"].isNotNull())
-    hashed, rank = fresh(docs, "hash"), fresh(docs, "rank")
-    kept = named.join(g, named["doc_id"] == g[key], "left_semi")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(key))
-    once = kept.join(repeated, kept["doc_id"] == repeated[key], "left_anti")
-    many = kept.join(repeated, kept["doc_id"] == repeated[key], "left_semi").withColumn(hashed, F.xxhash64("text")).withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(hashed))).where(F.col(rank) == 1).drop(hashed, rank)
+    fps = materialize(fingerprint_table(docs), "fingerprints")
+    some = fps.where("doc_id IS NOT NULL")
+    worded = some.where("n_words > 0").join(_text_groups(fps), ["f0", "f1"]).groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("least")).select("least.*")
+    wordless = some.where("n_words = 0").groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    repeats = some.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "hash", F.lit(True).alias("repeated"))
+    ident, text_hash, repeated, rank = fresh(docs, "id"), fresh(docs, "hash"), fresh(docs, "repeated"), fresh(docs, "rank")
+    stay = worded.unionByName(wordless).join(repeats, ["doc_id", "hash"], "left").select(F.col("doc_id").alias(ident), F.col("hash").alias(text_hash), F.coalesce("repeated", F.lit(False)).alias(repeated))
+    stay = materialize(stay, "kept")
+    kept = docs.join(stay, (docs["doc_id"].cast("long") == stay[ident]) & (F.xxhash64(docs["text"]) == stay[text_hash]))
+    once = kept.where(~F.col(repeated)).select(*(docs[c] for c in docs.columns))
+    many = kept.where(repeated).withColumn(rank, F.row_number().over(Window.partitionBy(ident, text_hash).orderBy(ident))).where(F.col(rank) == 1).drop(ident, text_hash, repeated, rank)
     return once.unionByName(many).unionByName(docs.where("doc_id IS NULL"))
