@@ -147,6 +147,38 @@ def test_decontamination_equals_brute_force():
     assert any(found) and not all(found)
 
 
+def test_decontamination_finds_passages_at_any_offset():
+    # Against brute force over all passages of WINDOW characters, whole short items too; with and without edits.
+    rng = np.random.default_rng(8)
+    items = [(k, " ".join(words(n, 700 + k))) for k, n in enumerate((30, 28, 15, 9))]
+    assert [len(t) > 110 for _, t in items] == [True, True, False, False]
+    texts = []
+    for k in range(15):
+        item = items[k % 4][1]
+        n = min(len(item), int(rng.integers(50, 110)))
+        a = int(rng.integers(0, len(item) - n + 1))
+        passage = list(item[a : a + n])
+        for p in rng.integers(0, n, (0, 0, 4, 6, 9)[k % 5]):
+            passage[p] = ("", "zz", "z")[p % 3]
+        texts.append(" ".join([*words(6, 1000 + k), "".join(passage), *words(6, 1100 + k)]) if k % 7 else "".join(passage))
+    norm = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    found = decontam.contaminated(texts, decontam.unpacked(__import__("pickle").dumps(decontam.windows(items))))
+    for text, got in zip(texts, found):
+        want = []
+        for ident, item in items:
+            it = norm(item)
+            passages = {it[a : a + decontam.WINDOW] for a in range(len(it) - decontam.WINDOW + 1)} | ({it} if len(it) < 2 * decontam.WINDOW else set())
+            if any(_least_edits(p, norm(text)) <= math.floor(decontam.RATE * len(p)) for p in passages):
+                want.append(ident)
+        assert got == want
+    assert 5 < sum(map(bool, found)) < 15
+    # Verbatim passages of 60 characters, at each offset of a long item.
+    item = items[0][1]
+    cut = [item[a : a + 60] for a in range(len(item) - 59)]
+    cut = [c for c in cut if c == norm(c)]
+    assert decontam.contaminated(["before " + c + " after" for c in cut], decontam.unpacked(__import__("pickle").dumps(decontam.windows(items)))) == [[0]] * len(cut)
+
+
 def test_decontamination_odd_rows(spark):
     passage = " ".join(words(40, 77))
     rows = [*odd_rows(), (20, "before " + passage + " after"), (20, "before " + passage + " after")]

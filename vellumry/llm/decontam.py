@@ -1,14 +1,15 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items and documents are normalised (lower case; each run of other characters than letters, marks and digits becomes one blank). An item
-longer than WINDOW characters gives overlapping windows of WINDOW characters, STRIDE apart, the last flush with its end; a shorter one is one
-window. A document is contaminated if some window matches a region of it within an edit budget of floor(RATE * length).
+Benchmark items and documents are normalised (lower case; each run of other characters than letters, marks and digits becomes one blank). A document is
+contaminated if a region of it matches, within an edit budget of floor(RATE * length), a passage of an item: any WINDOW successive characters, wherever in the
+item they begin, or the whole item if it has fewer than 2 * WINDOW characters. So a copied passage of WINDOW characters or more is found whatever its offset.
 
-Filter. A region within e edits of a window of m characters shares at least m - Q + 1 - Q * e of its q-grams, all on diagonals that differ by at
-most e. Hits (document position minus window position) are counted in diagonal bands of width BAND + e that overlap by e, so one band holds
-all hits of the region. Bands that meet the bound go on; none is dropped for its number.
+Filter. A region within e edits of a passage of m characters shares at least m - Q + 1 - Q * e of its q-grams, all on diagonals that differ by at
+most e, within m + e characters. Hits (document position minus item position) are sorted into diagonal bands of width BAND + e that overlap by e, so one band
+of the item holds all hits of the region. The passages of a band whose q-grams meet the bound go on; none is dropped for its number.
 
-Verify. Each band that is left is aligned with its window by an edit distance confined to the band's diagonals, free at both ends of the document.
+Verify. Each passage that is left is aligned with its band by an edit distance confined to the band's diagonals, free at both ends of the document. The
+likeliest passage of a band comes first; the others are aligned only where it doesn't match and where its distance leaves them a chance.
 The filter works on the low byte of each character, which can only add hits; the alignment compares whole characters.
 """
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from vellumry.llm import textnum as tn
 from vellumry.llm.common import fresh, prepare
 
-Q, RATE, WINDOW, STRIDE, BAND = 8, 1 / 12, 120, 60, 16
+#: Passages begin STRIDE characters apart: at every one, as a copy may.
+Q, RATE, WINDOW, STRIDE, BAND = 8, 1 / 12, 60, 1, 16
 #: Items of fewer characters than this, for which the bound is empty, match only as they stand.
 LEAST = 24
 _TABLE = 22
@@ -48,29 +50,29 @@ def normalise(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(items: list[tuple[int, str]]) -> list[dict]:
-    """Windows of the benchmark by class, those of WINDOW characters and shorter ones, each with an index of its q-grams."""
+    """The benchmark's items by class, those with passages of WINDOW characters and those that count as a whole, each with an index of its q-grams."""
     codes, starts = normalise([t for _, t in items])
-    full, short = ([], []), ([], [])
+    passages, whole = ([], [], []), ([], [], [])
     for k, (item, _) in enumerate(items):
         text = codes[starts[k] : starts[k + 1] - 1]
         if len(text) and text[-1] == 32:
             text = text[:-1]
-        if not len(text):
-            continue
-        last = len(text) - WINDOW
-        for a in [0] if last <= 0 else [*range(0, last, STRIDE), last]:
-            win, owner = short if last < 0 else full
-            win.append(text[a : a + WINDOW])
-            owner.append(item)
-    return [_index(*x) for x in (full, short) if x[0]]
-
-
-def _index(win: list[np.ndarray], owner: list[int]) -> dict:
-    size = np.array([len(w) for w in win], np.int64)
+        if len(text) >= WINDOW:
+            for x, own in zip(passages, (text, item, WINDOW)):
+                x.append(own)
+        if 0 < len(text) < 2 * WINDOW and len(text) != WINDOW:
+            for x, own in zip(whole, (text, item, len(text))):
+                x.append(own)
+    return [_index(*x) for x in (passages, whole) if x[0]]
+
+
+def _index(text: list[np.ndarray], owner: list[int], size: list[int]) -> dict:
+    """Of each text its passages' size, with their edit budget and the q-grams they need; and where in the texts each q-gram is."""
+    size = np.array(size, np.int64)
     budget = np.where(size < LEAST, 0, np.floor(RATE * size)).astype(np.int64)
     need = np.maximum(1, size - Q + 1 - Q * budget)
     grams, of, at = [], [], []
-    for k, w in enumerate(win):
+    for k, w in enumerate(text):
         g = _grams(w)
         if len(w) < Q:  # too short for a q-gram: padded with the blank that ends a word
             g = _grams(np.r_[w, np.full(Q - len(w), 32, np.uint32)])[:1]
@@ -83,7 +85,8 @@ def _index(win: list[np.ndarray], owner: list[int]) -> dict:
     key, first = np.unique(grams, return_index=True)
     table = np.zeros(1 << _TABLE, bool)
     table[_slot(key)] = True
-    return {"win": win, "owner": np.array(owner, np.int64), "size": size, "budget": budget, "need": need, "key": key, "first": np.r_[first, len(grams)], "of": of, "at": at, "table": np.packbits(table)}
+    longest = max(len(w) for w in text)
+    return {"text": text, "owner": np.array(owner, np.int64), "size": size, "budget": budget, "need": need, "longest": longest, "key": key, "first": np.r_[first, len(grams)], "of": of, "at": at, "table": np.packbits(table)}
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
@@ -107,7 +110,7 @@ def _expand(count: np.ndarray) -> np.ndarray:
 
 
 def _dense(pos: np.ndarray, index: dict) -> np.ndarray:
-    """Whether each hit lies among as many hits as some window needs, within the length that its region may have; others can't count."""
+    """Whether each hit lies among as many hits as some passage needs, within the length that its region may have; others can't count."""
     need, reach = int(index["need"].min()), int((index["size"] + index["budget"]).max())
     ok = np.zeros(len(pos) + 1, np.int64)
     if len(pos) >= need:
@@ -117,8 +120,9 @@ def _dense(pos: np.ndarray, index: dict) -> np.ndarray:
     return np.cumsum(ok[:-1]) > 0
 
 
-def _bands(codes: np.ndarray, index: dict, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and band numbers (of the position in codes) that meet the bound."""
+def _bands(codes: np.ndarray, index: dict, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages that meet the bound, band by band, the likeliest of each first: text, band number (of the position in codes), beginning in the text, and
+    the number of its band."""
     g = _grams(codes)
     pos = np.flatnonzero(table[_slot(g)]) if len(g) else np.zeros(0, np.int64)
     g = g[pos]
@@ -129,16 +133,32 @@ def _bands(codes: np.ndarray, index: dict, table: np.ndarray) -> tuple[np.ndarra
     pos, k = pos[ok], k[ok]
     count = index["first"][k + 1] - index["first"][k]
     hit = np.repeat(index["first"][k], count) + _expand(count)
-    win = index["of"][hit]
-    diagonal = np.repeat(pos, count) - index["at"][hit] + WINDOW  # never negative
+    pos, of, at = np.repeat(pos, count), index["of"][hit], index["at"][hit]
+    diagonal = pos - at + index["longest"]  # never negative
     band = diagonal // BAND
     # A hit in the first e diagonals of a band also lies in the overlap of the one before.
-    again = (diagonal - band * BAND) < index["budget"][win]
-    again &= band > 0
-    code = np.concatenate([win << 40 | band, (win << 40 | (band - 1))[again]])
-    code, n = np.unique(code, return_counts=True)
-    code = code[n >= index["need"][code >> 40]]
-    return code >> 40, code & ((1 << 40) - 1)
+    again = np.flatnonzero(((diagonal - band * BAND) < index["budget"][of]) & (band > 0))
+    code = np.concatenate([of << 40 | band, of[again] << 40 | (band[again] - 1)])
+    pos, at = np.concatenate([pos, pos[again]]), np.concatenate([at, at[again]])
+    order = np.lexsort((pos, code))
+    code, pos, at = code[order], pos[order], at[order]
+    # A band goes on if as many hits as its passages need lie within the length that a region may have.
+    of = code >> 40
+    last = np.arange(len(code)) + index["need"][of] - 1
+    end = np.minimum(last, max(len(code) - 1, 0))
+    ok = (last < len(code)) & (code[end] == code) & (pos[end] - pos <= index["size"][of] + index["budget"][of])
+    some = np.unique(code[ok])
+    begin, stop = np.searchsorted(code, some), np.searchsorted(code, some, "right")
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for x, a, b in zip(some, begin, stop):
+        own = int(x >> 40)
+        m, here = int(index["size"][own]), np.sort(at[a:b])
+        start = np.arange(0, len(index["text"][own]) - m + 1, STRIDE)
+        n = np.searchsorted(here, start + max(m - Q, 0), "right") - np.searchsorted(here, start)
+        start = start[np.argsort(-n, kind="stable")][: int((n >= index["need"][own]).sum())]
+        for to, what in zip(out, (own, int(x & ((1 << 40) - 1)), start, len(out[0]))):
+            to.append(np.full(len(start), what) if np.isscalar(what) else what)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def _aligned(codes: np.ndarray, win: np.ndarray, budget: int, low: np.ndarray) -> np.ndarray:
@@ -146,7 +166,8 @@ def _aligned(codes: np.ndarray, win: np.ndarray, budget: int, low: np.ndarray) -
     far = np.int16(win.shape[1] + 1)
     first = low - budget  # the path may leave the hits' diagonals by its edits
     width = BAND + 3 * budget + 1
-    codes = np.r_[codes, np.uint32(10)]
+    if not len(codes) or codes[-1] != 10:
+        codes = np.r_[codes, np.uint32(10)]
     place = first[:, None] + np.arange(width)[None]
     row = np.where((place >= 0) & (place < len(codes)), 0, far).astype(np.int16)  # nothing of win used: free start anywhere
     span = first[:, None] + np.arange(width + win.shape[1])[None]
@@ -168,29 +189,48 @@ def contaminated(texts: list, indexes: list[dict]) -> list[list[int]]:
     for i, j in tn.chunks(texts):
         codes, starts = normalise(texts[i:j])
         codes = np.r_[codes, np.full(Q, 10, np.uint32)]
+        own: list[set[int]] = [set() for _ in range(i, j)]
         for index in indexes:
-            for text, item in _verified(codes, starts, index):
-                found[i + text].add(item)
+            _verified(codes, starts, index, own)
+        found[i:j] = own
     return [sorted(f) for f in found]
 
 
-def _verified(codes: np.ndarray, starts: np.ndarray, index: dict) -> Iterator[tuple[int, int]]:
-    """(text, item) of each band that meets the bound and whose alignment stays in the budget."""
-    win, band = _bands(codes, index, index["bits"])
-    for m in np.unique(index["size"][win]):
-        mine = np.flatnonzero(index["size"][win] == m)
-        e = int(index["budget"][win[mine[0]]])
-        for s in range(0, len(mine), 512):
-            k = mine[s : s + 512]
-            low, text = band[k] * BAND - WINDOW, np.stack([index["win"][w] for w in win[k]])
-            for x in np.flatnonzero(_aligned(codes, text, e, low) <= e):
-                # A region never crosses the line feed between texts; of the texts that the band touches, align with each.
-                lo, owner = low[x], int(index["owner"][win[k[x]]])
-                first = np.searchsorted(starts, max(0, lo - e), "right") - 1
-                last = min(np.searchsorted(starts, lo + BAND + 2 * e + m, "right") - 1, len(starts) - 2)
-                for d in range(first, last + 1):
-                    if first == last or _aligned(codes[starts[d] : starts[d + 1]], text[x : x + 1], e, low[x : x + 1] - starts[d])[0] <= e:
-                        yield int(d), owner
+def _verified(codes: np.ndarray, starts: np.ndarray, index: dict, found: list[set[int]]) -> None:
+    """Add to found, by text, the item of each passage that meets the bound and whose alignment stays in the budget."""
+    of, band, begin, number = _bands(codes, index, index["bits"])
+    first = np.r_[True, number[1:] != number[:-1]][: len(number)]
+    owner, edits, base = index["owner"][of[first]], index["budget"][of[first]], band[first] * BAND - index["longest"]
+    # The texts that a band touches; where there is but one, and its item is found in it, the band has no more to say.
+    long = np.array([len(t) for t in index["text"]], np.int64)[of[first]]
+    one = np.searchsorted(starts, np.maximum(0, base - edits), "right") - 1
+    two = np.searchsorted(starts, base + BAND + 2 * edits + long, "right") - 1
+    place, at = np.cumsum(first) - 1, np.r_[np.flatnonzero(first), len(of)]
+    left = np.ones(len(of), bool)
+    # Passages a character apart differ in their distance by one at most (their ends may be replaced), save where a band reaches before all texts. So one that
+    # lies far beyond the budget rules its neighbours out, and few are aligned where none matches.
+    inside = base - 3 * edits - BAND > 0
+    for mine in (first, begin % 8 == 0, begin % 4 == 0, begin % 2 == 0, ~first):
+        for m in np.unique(index["size"][of[mine]]):
+            done = np.array([x == y and k in found[x] for x, y, k in zip(one, two, owner)], bool)
+            these = np.flatnonzero(mine & left & (index["size"][of] == m) & ~done[place])
+            for s in range(0, len(these), 512):
+                k = these[s : s + 512]
+                e = int(index["budget"][of[k[0]]])
+                low, text = band[k] * BAND - index["longest"] + begin[k], np.stack([index["text"][t][a : a + m] for t, a in zip(of[k], begin[k])])
+                far = _aligned(codes, text, e, low).astype(np.int64)
+                left[k] = False
+                for x in np.flatnonzero((far > e + 1) & inside[place[k]]):
+                    near = slice(at[place[k[x]]], at[place[k[x]] + 1])
+                    left[near] &= abs(begin[near] - begin[k[x]]) > far[x] - e - 1
+                for x in np.flatnonzero(far <= e):
+                    # A region never crosses the line feed between texts; of the texts that the band touches, align with each.
+                    lo, item = low[x], int(index["owner"][of[k[x]]])
+                    a = np.searchsorted(starts, max(0, lo - e), "right") - 1
+                    b = min(np.searchsorted(starts, lo + BAND + 2 * e + m, "right") - 1, len(starts) - 2)
+                    for d in range(a, b + 1):
+                        if item not in found[d] and (a == b or _aligned(codes[starts[d] : starts[d + 1]], text[x : x + 1], e, low[x : x + 1] - starts[d])[0] <= e):
+                            found[d].add(item)
 
 
 def unpacked(blob: bytes) -> list[dict]:
@@ -206,7 +246,7 @@ def _matches(shared, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def matches_column(docs: DataFrame, benchmark: DataFrame):
     """A column for docs: the sorted item_ids that the text contains a passage of; empty for none, and for a null text.
 
-    The benchmark's windows are broadcast. They grow with the benchmark alone, never with the documents.
+    The benchmark's items are broadcast with their q-grams. They grow with the benchmark alone, never with the documents.
     """
     prepare(docs.sparkSession)
     items = [(r.item_id, r.text) for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").collect()]
