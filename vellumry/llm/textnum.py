@@ -13,19 +13,26 @@ _P, _P_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 CHUNK = 1 << 20
 
 
+#: Every code point, and the planes that hold letters, marks, digits or white space; the others have none.
+_ALL, _PLANES = 0x110000, (range(0x40000), range(0xE0000, 0xE1000))
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For code points below 65536: lower case, whether a letter, mark or digit, whether white space."""
-    chars = [chr(i) for i in range(65536)]
-    low = np.array([ord(c.lower()[0]) if not 0xD800 <= ord(c) < 0xE000 else ord(c) for c in chars], np.uint32)
-    word = np.array([unicodedata.category(c)[0] in "LMN" for c in chars])
-    space = np.array([c.isspace() for c in chars])
+    """For each code point: lower case, whether a letter, mark or digit, whether white space."""
+    low, word, space = np.arange(_ALL, dtype=np.uint32), np.zeros(_ALL, bool), np.zeros(_ALL, bool)
+    for plane in _PLANES:
+        chars = [chr(i) for i in plane]
+        own = slice(plane.start, plane.stop)
+        low[own] = [ord(c.lower()[0]) for c in chars]
+        word[own] = [unicodedata.category(c)[0] in "LMN" for c in chars]
+        space[own] = [c.isspace() for c in chars]
     return low, word, space
 
 
 @lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    n = 2 * CHUNK
     out = []
     for base in (_P, _P_INV):
         a = np.full(n, base, U)
@@ -65,23 +72,47 @@ def codepoints(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def folded(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower case of each code point, and whether it belongs to a word. Those from 65535 on separate words."""
+    """Lower case of each code point, and whether it belongs to a word."""
     low, word, _ = _tables()
-    c = np.minimum(cp, 65535)
-    return low[c], word[c]
+    return low[cp], word[cp]
 
 
 def spaces(cp: np.ndarray) -> np.ndarray:
-    return _tables()[2][np.minimum(cp, 65535)]
+    return _tables()[2][cp]
 
 
 def hashed_spans(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of codes, by prefix sums of a polynomial, wherever in the array it lies."""
-    bits = max(21, int(len(codes) + 1).bit_length())
-    power, inverse = _powers(bits)
-    sums = np.zeros(len(codes) + 1, U)
-    np.cumsum(codes.astype(U) * power[: len(codes)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(U))
+    """A 64-bit hash of each span of codes, by prefix sums of a polynomial, wherever in the array it lies. Spans come in order of their beginnings.
+
+    Codes are taken CHUNK at a time, each time up to a span's beginning, so the tables of powers stay small however long a text is.
+    """
+    power, inverse = _powers()
+    out = np.zeros(len(begin), U)
+    a = 0
+    while a < len(begin):
+        base = int(begin[a])
+        b = int(np.searchsorted(begin, base + CHUNK))
+        over = np.flatnonzero(end[a:b] - base > len(power))
+        b = a + int(over[0]) if len(over) else b
+        if b == a:  # a span longer than the tables: Horner's rule over pieces of it gives the same sum
+            b, n = a + 1, int(end[a]) - base
+            total, scale, step = U(0), U(1), U(pow(_P, len(power), 1 << 64))
+            with np.errstate(over="ignore"):
+                for x in range(base, base + n, len(power)):
+                    piece = codes[x : min(x + len(power), base + n)].astype(U)
+                    total += (piece * power[: len(piece)]).sum(dtype=U) * scale
+                    scale *= step
+            out[a] = total + U(n)
+            a = b
+            continue
+        stop = int(end[a:b].max())
+        n = stop - base
+        sums = np.zeros(n + 1, U)
+        np.cumsum(codes[base:stop].astype(U) * power[:n], out=sums[1:])
+        at, to = begin[a:b] - base, end[a:b] - base
+        out[a:b] = (sums[to] - sums[at]) * inverse[at] + (to - at).astype(U)
+        a = b
+    return mix(out)
 
 
 def words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
