@@ -3,6 +3,8 @@
 Benchmark items and documents are normalised (lower case; each run of other characters than letters, marks and digits becomes one blank). A document is
 contaminated if a region of it matches, within an edit budget of floor(RATE * length), a passage of an item: any WINDOW successive characters, wherever in the
 item they begin, or the whole item if it has fewer than 2 * WINDOW characters. So a copied passage of WINDOW characters or more is found whatever its offset.
+Where that budget would leave no q-gram that a region must share (12 to 15 characters) no edit is allowed, and items of fewer than Q characters, which have no
+q-gram, are found where a document has them as whole words.
 
 Filter. A region within e edits of a passage of m characters shares at least m - Q + 1 - Q * e of its q-grams, all on diagonals that differ by at
 most e, within m + e characters. Hits (document position minus item position) are sorted into diagonal bands of width BAND + e that overlap by e, so one band
@@ -24,17 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumry.llm import textnum as tn
-from vellumry.llm.common import fresh, prepare
+from vellumry.llm.common import checked, fresh, prepare
 
 #: Passages begin STRIDE characters apart: at every one, as a copy may.
 Q, RATE, WINDOW, STRIDE, BAND = 8, 1 / 12, 60, 1, 16
-#: Items of fewer characters than this, for which the bound is empty, match only as they stand.
-LEAST = 24
+#: Characters that a benchmark may have in all, since it is sent to every executor.
+MOST_CHARS = 1 << 28
 _TABLE = 22
 
 
 def normalise(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised code points of all texts, each ending in a blank and a line feed, and where each begins (and the end)."""
+    """Normalised code points of all texts, each ending in a line feed (with a blank before it, unless a word ends the text), and where each begins (and the end)."""
     cp, starts = tn.codepoints(texts)
     low, word = tn.folded(cp)
     low = np.where(word, low, np.uint32(32))
@@ -50,32 +52,59 @@ def normalise(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(items: list[tuple[int, str]]) -> list[dict]:
-    """The benchmark's items by class, those with passages of WINDOW characters and those that count as a whole, each with an index of its q-grams."""
+    """The benchmark's items by class: those with passages of WINDOW characters and those that count as a whole, each with an index of its q-grams; and those too
+    short for a q-gram, by their lengths."""
     codes, starts = normalise([t for _, t in items])
-    passages, whole = ([], [], []), ([], [], [])
+    passages, whole, short = ([], [], []), ([], [], []), {}
     for k, (item, _) in enumerate(items):
         text = codes[starts[k] : starts[k + 1] - 1]
         if len(text) and text[-1] == 32:
             text = text[:-1]
+        if 0 < len(text) < Q:
+            short.setdefault(len(text), {}).setdefault(text.tobytes(), []).append(item)
+            continue
         if len(text) >= WINDOW:
             for x, own in zip(passages, (text, item, WINDOW)):
                 x.append(own)
         if 0 < len(text) < 2 * WINDOW and len(text) != WINDOW:
             for x, own in zip(whole, (text, item, len(text))):
                 x.append(own)
-    return [_index(*x) for x in (passages, whole) if x[0]]
+    return [_index(*x) for x in (passages, whole) if x[0]] + [{"length": m, "spelled": own, "keys": np.unique(_spelling(np.stack([np.frombuffer(b, np.uint32) for b in own])))} for m, own in sorted(short.items())]
+
+
+def _spelling(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of code points."""
+    h = np.zeros(len(rows), np.uint64)
+    for c in rows.T:
+        h = tn.mix(h + c.astype(np.uint64) + np.uint64(1))
+    return h
+
+
+def _spelled(codes: np.ndarray, starts: np.ndarray, short: dict, found: list[set[int]]) -> None:
+    """Add to found, by text, the items of this length that stand in it as whole words."""
+    m = short["length"]
+    gap = (codes == 32) | (codes == 10)
+    begin = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    begin = begin[begin + m < len(codes)]
+    begin = begin[gap[begin + m]]
+    for a in range(0, len(begin), 1 << 18):  # bounded memory
+        some = begin[a : a + (1 << 18)]
+        rows = codes[some[:, None] + np.arange(m)[None]]
+        at = np.flatnonzero(np.isin(_spelling(rows), short["keys"]))
+        of = np.searchsorted(starts, some[at], "right") - 1
+        for d, row in {(int(d), rows[k].tobytes()) for d, k in zip(of, at)}:
+            found[d].update(short["spelled"].get(row, ()))
 
 
 def _index(text: list[np.ndarray], owner: list[int], size: list[int]) -> dict:
     """Of each text its passages' size, with their edit budget and the q-grams they need; and where in the texts each q-gram is."""
     size = np.array(size, np.int64)
-    budget = np.where(size < LEAST, 0, np.floor(RATE * size)).astype(np.int64)
-    need = np.maximum(1, size - Q + 1 - Q * budget)
+    budget = np.floor(RATE * size).astype(np.int64)
+    budget[size - Q + 1 - Q * budget < 1] = 0
+    need = size - Q + 1 - Q * budget
     grams, of, at = [], [], []
     for k, w in enumerate(text):
         g = _grams(w)
-        if len(w) < Q:  # too short for a q-gram: padded with the blank that ends a word
-            g = _grams(np.r_[w, np.full(Q - len(w), 32, np.uint32)])[:1]
         grams.append(g)
         of.append(np.full(len(g), k))
         at.append(np.arange(len(g)))
@@ -191,7 +220,7 @@ def contaminated(texts: list, indexes: list[dict]) -> list[list[int]]:
         codes = np.r_[codes, np.full(Q, 10, np.uint32)]
         own: list[set[int]] = [set() for _ in range(i, j)]
         for index in indexes:
-            _verified(codes, starts, index, own)
+            (_spelled if "spelled" in index else _verified)(codes, starts, index, own)
         found[i:j] = own
     return [sorted(f) for f in found]
 
@@ -234,7 +263,7 @@ def _verified(codes: np.ndarray, starts: np.ndarray, index: dict, found: list[se
 
 
 def unpacked(blob: bytes) -> list[dict]:
-    return [x | {"bits": np.unpackbits(x["table"]).view(bool)} for x in pickle.loads(blob)]
+    return [x | {"bits": np.unpackbits(x["table"]).view(bool)} if "table" in x else x for x in pickle.loads(blob)]
 
 
 def _matches(shared, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -243,13 +272,16 @@ def _matches(shared, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(contaminated(b.to_pylist(), indexes), pa.list_(pa.int64()))
 
 
-def matches_column(docs: DataFrame, benchmark: DataFrame):
+def matches_column(docs: DataFrame, benchmark: DataFrame, most_chars: int = MOST_CHARS):
     """A column for docs: the sorted item_ids that the text contains a passage of; empty for none, and for a null text.
 
-    The benchmark's items are broadcast with their q-grams. They grow with the benchmark alone, never with the documents.
+    The benchmark's items are broadcast with their q-grams. They grow with the benchmark alone, never with the documents; a benchmark of more than most_chars
+    characters raises a ValueError before anything is gathered: part it and combine the columns.
     """
     prepare(docs.sparkSession)
-    items = [(r.item_id, r.text) for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").collect()]
+    own = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
+    checked(own, most_chars, "the benchmark")
+    items = sorted((r.item_id, r.text) for r in own.collect())
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(windows(items), protocol=5))
 
     def matches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
