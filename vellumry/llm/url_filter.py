@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumry.llm.common import prepare
+from vellumry.llm.common import lowest, materialize, prepare
 
 #: At most so many labelled pages are learnt from, those whose page_id hashes lowest.
 TRAIN_ROWS = 20_000
@@ -41,7 +41,7 @@ def _bytes(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _grams(b: np.ndarray, order: int) -> np.ndarray:
     """The last order + 1 bytes at each place, as one number; only places at least `order` from a beginning are meaningful."""
     g = np.zeros(len(b), np.uint64)
-    for k in range(order + 1):
+    for k in range(min(order + 1, len(b))):
         g[k:] |= b[: len(b) - k].astype(np.uint64) << np.uint64(8 * k)
     return g
 
@@ -115,14 +115,17 @@ def scores(urls: list, model: dict) -> np.ndarray:
 
 
 def labelled(pages: DataFrame, rows: int = TRAIN_ROWS, language: str = LANGUAGE) -> tuple[list[str], list[int]]:
-    """URLs and whether their pages are accepted, of at most `rows` pages with a page_id, a URL and html, the lowest by a hash of the id."""
-    declared = F.lower(F.regexp_extract(F.substring("html", 1, 4096), r'(?i)<html[^>]*\slang="?([a-z]+)', 1))
+    """URLs and whether their pages are accepted, of at most `rows` pages with a page_id, a URL and html, the lowest by a hash of id and URL.
+
+    Pages alike in id, URL and label count once. The html tag is looked for in the whole page.
+    """
+    declared = F.lower(F.regexp_extract("html", r'(?i)<html[^>]*\slang="?([a-z]+)', 1))
     y = ((declared == language) & (F.length("html") >= LEAST_HTML)).cast("int")
-    # Of many pages only ids that hash to the lowest share, half as many again as wanted, are sorted: else each task would send the driver `rows` of its own.
-    n = pages.where("page_id IS NOT NULL").count()
-    low = F.xxhash64(F.col("page_id").cast("long")) <= int(-(2**63) + 2**64 * 1.5 * rows / n) if n > 2 * rows else F.lit(True)
-    known = pages.where(low).where("page_id IS NOT NULL AND url <> '' AND html IS NOT NULL").select(F.col("page_id").cast("long").alias("id"), "url", y.alias("y"))
-    found = known.orderBy(F.xxhash64("id"), "id", "url", "y").limit(rows).collect()
+    known = pages.where("page_id IS NOT NULL AND url <> '' AND html IS NOT NULL").select(F.col("page_id").cast("long").alias("id"), "url", y.alias("y"))
+    known = materialize(known.withColumn("h", F.xxhash64("id", "url")), "urls")  # html is read once
+    # Hashes are counted once each, so that a page that repeats a million times leaves the others their places.
+    few = F.broadcast(lowest(known.select("h").distinct(), "h", rows).orderBy("h").limit(rows))
+    found = known.join(few, "h", "left_semi").distinct().orderBy("h", "id", "url", "y").limit(rows).collect()
     return [r.url for r in found], [r.y for r in found]
 
 
