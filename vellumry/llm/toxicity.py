@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A document is as toxic as its worst sentence. A sentence's score is a logistic function of a bias and the weights of its distinct words. A word's
+A document is as toxic as its worst sentence; what lies between two of ENDS is a sentence, whatever its length. A sentence's score is a logistic function of a bias and the weights of its distinct words. A word's
 weight is the sum of those of the word and of its beginnings of PREFIXES letters (so inflected forms share what they learn), hashed into BUCKETS.
 Labels hold for documents, so each training step takes the document's highest-scoring sentence (multiple-instance learning).
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ TRAIN_ROWS = 6000
 BUCKETS, EPOCHS, RATE, DECAY, PENALTY, HELD_OUT = 1 << 18, 6, 0.3, 1e-4, 1.0, 0.2
 PREFIXES = (4, 5, 6)
 WIDTH = 1 + len(PREFIXES)
-#: A sentence of more words than this is scored in pieces of it.
-LONGEST = 64
+#: Labelled documents whose gradients are summed up in one step.
+BATCH = 8
+#: Where sentences end: full stops, exclamation and question marks of the scripts that have their own, and line ends.
+ENDS = ".!?\n\r\u2028\u2029\u2026\u203c\u2047\u2048\u2049\u3002\uff01\uff0e\uff1f\uff61\ufe52\ufe56\ufe57\u0589\u061f\u06d4\u0700\u0701\u0702\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u1803\u1809\u17d4\u17d5"
 #: Terms of one kind can stand for each other in a sentence.
 IDENTITIES = {
     "religion": "muslim christian jewish hindu buddhist atheist catholic protestant sikh musulman chrétien juif musulmán cristiano judío moslem christ jude".split(),
@@ -57,26 +60,33 @@ def _identities() -> tuple[np.ndarray, np.ndarray]:
     return np.array(found), np.array(kind)
 
 
+@lru_cache(maxsize=1)
+def _ends() -> np.ndarray:
+    """Whether a code point below 65536 ends a sentence; one entry more stands for all others."""
+    out = np.zeros(65537, bool)
+    out[[ord(c) for c in ENDS]] = True
+    return out
+
+
 def sentences(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets (n, WIDTH) of each sentence's distinct words, where each sentence begins among them, and its text. Only sentences with words count."""
+    """Buckets (n, WIDTH) of each sentence's distinct words, where each sentence begins among them, and its text. Only sentences with words count.
+
+    A sentence is what lies between two ENDS, however long it is.
+    """
     h, doc, begin, end, cp = tn.words(texts)
     if not len(h):
         return np.zeros((0, WIDTH), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    stop = np.cumsum((cp == 46) | (cp == 33) | (cp == 63) | (cp == 10))[begin]
-    at = np.flatnonzero(np.r_[True, stop[1:] != stop[:-1]])
-    place = np.arange(len(h)) - np.repeat(at, np.diff(np.r_[at, len(h)]))
-    of = np.cumsum(place % LONGEST == 0) - 1
-    order = np.lexsort((h, of))
-    keep = order[np.r_[True, (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])]]
-    of, begin, end = of[keep], begin[keep], end[keep]
     low = tn.folded(cp)[0]
     # A beginning hashes apart from a word of the same letters; a word no longer than it repeats the word's own bucket.
-    parts = [h[keep]]
+    parts = [h]
     for n in PREFIXES:
-        cut = np.minimum(begin + n, end)
-        parts.append(np.where(end - begin > n, tn.hashed_spans(low, begin, cut) ^ np.uint64(n), parts[0] ^ np.uint64(n)))
-    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    return (np.stack(parts, axis=1) % np.uint64(BUCKETS)).astype(np.int64), first, doc[keep][first]
+        parts.append(np.where(end - begin > n, tn.hashed_spans(low, begin, np.minimum(begin + n, end)) ^ np.uint64(n), h ^ np.uint64(n)))
+    stop = np.cumsum(_ends()[np.minimum(cp, 65536)])[begin]
+    of = np.cumsum(np.r_[False, stop[1:] != stop[:-1]])
+    order = np.lexsort((h, of))
+    keep = order[np.r_[True, (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])]]
+    first = np.flatnonzero(np.r_[True, of[keep][1:] != of[keep][:-1]])
+    return np.stack([(p[keep] % np.uint64(BUCKETS)).astype(np.int64) for p in parts], axis=1), first, doc[keep][first]
 
 
 def _sums(weights: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -111,37 +121,66 @@ def train(texts: list[str], y: list[int], penalty: float = PENALTY, seed: int =
     weights[strong] = odds[strong] / WIDTH
     rare = 1 - total / total.sum()  # both classes weigh the same
     terms, kind = _identities()
-    row = {int(t[0]): k for k, t in enumerate(terms)}
-    peers = {k: terms[kind == k] for k in range(len(IDENTITIES))}
-    whole = terms[:, 0]
+    # Peers of one kind are neighbours here.
+    sort = np.argsort(kind, kind="stable")
+    terms, kind = terms[sort], kind[sort]
+    begins, size = np.searchsorted(kind, np.arange(len(IDENTITIES))), np.bincount(kind, minlength=len(IDENTITIES))
+    term_of = np.full(BUCKETS, -1)
+    term_of[terms[:, 0]] = np.arange(len(terms))
     for epoch in range(EPOCHS):
         step = RATE / (1 + epoch)
         hold = min(0.45, step * penalty)
-        for n in rng.permutation(len(learnt)):
-            w, first, label = learnt[n]
-            score = _sums(weights, w, first)
-            s = int(score.argmax())
-            x = w[first[s] : first[s + 1] if s + 1 < len(first) else len(w)]
-            p = 1 / (1 + np.exp(-(bias + score[s])))
-            g = step * rare[label] * (p - label)
-            np.subtract.at(weights, x.ravel(), g / WIDTH)
+        order = rng.permutation(len(learnt))
+        for a in range(0, len(order), BATCH):
+            x, own, g, change = _gradient([learnt[n] for n in order[a : a + BATCH]], weights, bias, rare)
+            np.subtract.at(weights, x.ravel(), np.repeat(step * g[own] / WIDTH, WIDTH))
             weights[x] *= 1 - step * DECAY
-            bias -= g
+            bias -= step * change
             if penalty:
-                named = x[np.isin(x[:, 0], whole)]
-                one = named[rng.integers(len(named))] if len(named) else terms[rng.integers(len(terms))]
-                # Swap the term for a peer, and leave it out: both changes of the score shrink by gradient steps.
-                other = peers[int(kind[row[int(one[0])]])]
-                other = other[rng.integers(len(other))]
-                change = weights[one].sum() - weights[other].sum()
-                weights[one] -= hold * change / WIDTH / 2
-                weights[other] += hold * change / WIDTH / 2
-                weights[one] -= hold * weights[one].sum() / WIDTH
+                # Of each sentence one term that it names, or any: swap it for a peer, and leave it out. Both changes of the score shrink by gradient steps.
+                named = term_of[x[:, 0]]
+                pick = np.where(named >= 0, rng.random(len(named)), -1.0)
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                one = rng.integers(len(terms), size=len(starts))
+                best = np.maximum.reduceat(pick, starts)
+                here = np.flatnonzero((pick == best[own]) & (pick >= 0))
+                one[own[here]] = named[here]
+                other = begins[kind[one]] + rng.integers(size[kind[one]])
+                swap = weights[terms[one]].sum(axis=1) - weights[terms[other]].sum(axis=1)
+                move, uses = np.zeros(len(terms)), np.zeros(len(terms))
+                np.subtract.at(move, one, swap / 2)
+                np.add.at(move, other, swap / 2)
+                np.subtract.at(move, one, weights[terms[one]].sum(axis=1))
+                for t in (one, other):
+                    np.add.at(uses, t, 1)
+                some = np.flatnonzero(uses)
+                # A term that comes k times moves as it would in k steps, not k times as far.
+                far = move[some] / uses[some] * (1 - (1 - hold) ** uses[some])
+                np.add.at(weights, terms[some].ravel(), np.repeat(far / WIDTH, WIDTH))
     test = [d for d, h in zip(docs, held) if h] or docs
     scored = np.array([_sums(weights, w, first).max() + bias for w, first, _ in test])
     return {"weights": weights.astype(np.float32), "bias": float(bias), "threshold": _threshold(scored, np.array([d[2] for d in test]))}
 
 
+def _gradient(docs: list[tuple], weights: np.ndarray, bias: float, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The words of each document's worst sentence, the number of its document, and the loss's gradient by the score of each document and by the bias."""
+    w = np.concatenate([d[0] for d in docs])
+    size = np.array([len(d[0]) for d in docs])
+    first = np.concatenate([d[1] + a for d, a in zip(docs, np.cumsum(size) - size)])
+    count = np.array([len(d[1]) for d in docs])
+    doc, begin = np.repeat(np.arange(len(docs)), count), np.cumsum(count) - count
+    score = _sums(weights, w, first)
+    worst = np.maximum.reduceat(score, begin)
+    _, at = np.unique(np.where(score == worst[doc], doc, len(docs)), return_index=True)
+    at = at[: len(docs)]
+    ends = np.r_[first[1:], len(w)]
+    n = ends[at] - first[at]
+    rows = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    label = np.array([d[2] for d in docs])
+    g = rare[label] * (1 / (1 + np.exp(-np.clip(bias + worst, -500, 500))) - label)
+    return w[rows], np.repeat(np.arange(len(docs)), n), g, float(g.sum())
+
+
 def _threshold(score: np.ndarray, y: np.ndarray) -> float:
     if not len(y) or y.min() == y.max():
         return 0.0
