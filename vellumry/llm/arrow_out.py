@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vellumry.llm import textnum as tn
 from vellumry.llm import token_count
-from vellumry.llm.common import prepare
+from vellumry.llm.common import materialize, prepare
 
 LENGTH, ROWS, END = 512, 1024, 50256
 INDEX = "doc_id long, part int, n_tokens int, file string, batch int, row int, crc32 long"
@@ -99,16 +99,16 @@ def _write(shared, path: str, length: int, rows: int, end: int, wide: bool, batc
 
 
 def write(docs: DataFrame, path: str, length: int = LENGTH, rows: int = ROWS, end: int = END, vocabulary: str = token_count.VOCABULARY) -> DataFrame:
-    """Write all documents' sequences below path (a URI that all executors reach) when the result is computed.
+    """Write all documents' sequences below path (a URI that all executors reach); all files are there when this returns, and reading the result writes nothing.
 
-    Returns the index, one row per sequence: (doc_id, part, n_tokens, file, batch, row, crc32 of its ids). Rows that repeat give sequences each.
+    Returns the index, read from a table in the shared folder, one row per sequence: (doc_id, part, n_tokens, file, batch, row, crc32 of its ids). Rows that repeat give sequences each.
     Only doc_id and text are read. An empty table writes no file.
     """
     prepare(docs.sparkSession)
     ranks = token_count.load(vocabulary)
     wide = max(max(ranks.values()), end) >= 1 << 16
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(token_count.merges(ranks), protocol=5))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _write(shared, path, length, rows, end, wide, it), INDEX)
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _write(shared, path, length, rows, end, wide, it), INDEX), "sequence-index")
 
 
 class Sequences:

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumry.llm import textnum as tn
-from vellumry.llm.common import materialize, prepare
+from vellumry.llm.common import checked, materialize, prepare
 
 K1, B, LEVELS, SHARD, K = 1.2, 0.75, 255, 8192, 10
 _STEP = (K1 + 1) / LEVELS
 #: Candidates up to this many times k are scored exactly at once rather than narrowed further.
 SLACK = 8
+#: Characters that queries may have in all, since their words are sent to every executor.
+MOST_CHARS = 1 << 26
 INDEX = "doc_ids binary, lengths binary, terms binary, df binary, segments binary, impacts binary, starts binary, postings binary, tf binary"
 _KINDS = {"doc_ids": np.int64, "lengths": np.int32, "terms": np.uint64, "df": np.int32, "segments": np.int32, "impacts": np.uint8, "starts": np.int32, "postings": np.int32, "tf": np.int32}
 
@@ -74,8 +76,9 @@ def shard_index(doc_ids: np.ndarray, texts: list, mean: float) -> dict:
 
 def _shards(mean: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for a in range(0, b.num_rows, SHARD):
-            s = b.slice(a, SHARD)
+        step = -(-b.num_rows // max(1, -(-b.num_rows // SHARD)))  # even shards
+        for a in range(0, b.num_rows, step or 1):
+            s = b.slice(a, step)
             x = shard_index(s.column(0).to_numpy(), s.column(1).to_pylist(), mean)
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x[c], t).tobytes()], pa.binary()) for c, t in _KINDS.items()], names=list(_KINDS))
 
@@ -189,13 +192,16 @@ def _search(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def search(index: DataFrame, n: int, mean: float, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, doc_id, score): for every row of queries (item_id, text) the k best documents that share a word with it.
 
-    The queries' words are broadcast; they grow with the queries, not with the documents. Rows that repeat an item_id are one query of all their
+    The queries' words are broadcast; they grow with the queries, not with the documents. Queries of more than MOST_CHARS characters in all raise a
+    ValueError before anything is gathered: search the same index with parts of them. Rows that repeat an item_id are one query of all their
     words; null ids, null texts and texts without words give no rows. Of documents that repeat an id each row counts as a document.
     """
     spark = index.sparkSession
     prepare(spark)
     asked: dict[int, list[str]] = {}
-    for r in queries.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("q"), "text").collect():
+    given = queries.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("q"), "text")
+    checked(given, MOST_CHARS, "the table of queries")
+    for r in given.collect():
         asked.setdefault(r.q, []).append(r.text)
     own = [(q, np.unique(tn.words(texts)[0])) for q, texts in sorted(asked.items())]
     words = np.unique(np.concatenate([w for _, w in own])) if own else np.zeros(0, np.uint64)
@@ -220,12 +226,13 @@ def topk(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 def sql(k: int = K) -> str:
     """DuckDB SQL for topk() over documents and benchmark."""
     words = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')"
-    return f"""WITH w AS (SELECT doc_id, unnest({words}) AS t FROM documents WHERE doc_id IS NOT NULL),
-l AS (SELECT doc_id, count(*) AS len FROM w GROUP BY doc_id),
+    return f"""WITH n AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT row, doc_id, unnest({words}) AS t FROM n),
+l AS (SELECT row, count(*) AS len FROM w GROUP BY row),
 s AS (SELECT count(*) AS n, sum(len)::DOUBLE / count(*) AS mean FROM l),
 q AS (SELECT DISTINCT item_id, unnest({words}) AS t FROM benchmark),
-f AS (SELECT doc_id, t, count(*) AS tf FROM w WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+f AS (SELECT row, doc_id, t, count(*) AS tf FROM w WHERE t IN (SELECT t FROM q) GROUP BY row, doc_id, t),
 d AS (SELECT t, count(*) AS df FROM f GROUP BY t),
-p AS (SELECT f.doc_id, f.t, floor(0.5 + 1e6::DOUBLE * ln(1 + (s.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) * (f.tf * ({K1 + 1}::DOUBLE) / (f.tf + {K1}::DOUBLE * (1 - {B}::DOUBLE + {B}::DOUBLE * l.len / s.mean))))::BIGINT AS v FROM f JOIN d USING (t) JOIN l USING (doc_id), s),
-r AS (SELECT q.item_id AS query_id, p.doc_id, sum(p.v)::BIGINT AS score FROM q JOIN p USING (t) GROUP BY q.item_id, p.doc_id)
+p AS (SELECT f.row, f.doc_id, f.t, floor(0.5 + 1e6::DOUBLE * ln(1 + (s.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) * (f.tf * ({K1 + 1}::DOUBLE) / (f.tf + {K1}::DOUBLE * (1 - {B}::DOUBLE + {B}::DOUBLE * l.len / s.mean))))::BIGINT AS v FROM f JOIN d USING (t) JOIN l USING (row), s),
+r AS (SELECT q.item_id AS query_id, p.row, p.doc_id, sum(p.v)::BIGINT AS score FROM q JOIN p USING (t) GROUP BY q.item_id, p.row, p.doc_id)
 SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= {k}"""
