@@ -6,19 +6,21 @@ BUCKETS upper lengths with the least total of padded lengths; of equal choices e
 inequality, each layer is solved by divide and conquer in m log m steps and the result is exact.
 
 Inside a bucket documents are ordered by doc_id and cut into batches whose padded size fits BUDGET tokens; a document longer than that is a batch
-of its own. Ranks are exact without gathering a bucket in one task: ids fall in blocks of BLOCK consecutive numbers, counts of blocks are summed up,
-and only rows of one block are sorted together.
+of its own. Ranks are exact without gathering a bucket in one task, however ids are spread: rows are sorted by range partitions of bucket and id, written with their
+places, and counts of each partition's buckets, of which there are no more than partitions and buckets, give what lies before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumry.llm.common import materialize
 
-BUCKETS, BUDGET, BLOCK = 12, 65536, 65536
+BUCKETS, BUDGET = 12, 65536
 
 
 def length(text: Column) -> Column:
@@ -55,13 +57,15 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return [int(n[k]) for k in reversed(cut)]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokens: Callable[[Column], Column] = length) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_len, batch, slot) for every row of docs; a batch is known by bucket and batch, both from 0.
 
-    Null and blank texts count as one token. Rows with a null doc_id come before the others of their bucket. Rows that repeat an id are
-    each packed, in order of length, then of a hash of the text; rows equal in all that may take each other's place. Other columns are not read.
+    tokens: what counts a text's tokens, as a column; by default length(), which needs no vocabulary. Null and blank texts count as one token. Rows with a null
+    doc_id come before the others of their bucket. Rows that repeat an id are each packed, in order of length, then of a hash of the text; rows equal in all that
+    may take each other's place, and any number of them is spread over tasks. An empty table gives an empty result. Other columns, whatever their names, are
+    not read.
     """
-    sized = materialize(docs.select(F.col("doc_id").cast("long"), length(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("h")), "lengths")
+    sized = materialize(docs.select(F.col("doc_id").cast("long"), tokens(F.col("text")).cast("long").alias("n_tokens"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("salt")), "lengths")
     histogram = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram.sort()
     cut = boundaries(np.array([r.n_tokens for r in histogram], np.int64), np.array([r.n for r in histogram], np.int64), buckets)
@@ -71,13 +75,16 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     for k in range(len(cut) - 2, -1, -1):
         fits = F.col("n_tokens") <= cut[k]
         bucket, upper, size = F.when(fits, k).otherwise(bucket), F.when(fits, cut[k]).otherwise(upper), F.when(fits, max(1, budget // cut[k])).otherwise(size)
-    placed = sized.withColumns({"bucket": bucket, "bucket_len": upper.cast("long"), "cap": size, "block": F.floor(F.col("doc_id") / BLOCK)})
-    counts = placed.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("bucket", "block", (F.sum("n").over(Window.partitionBy("bucket").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    here = F.row_number().over(Window.partitionBy("bucket", "block").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "h")) - 1
-    ranked = placed.withColumn("here", here).alias("p").join(before.alias("b"), (F.col("p.bucket") == F.col("b.bucket")) & F.col("p.block").eqNullSafe(F.col("b.block")))
-    rank = F.col("before") + F.col("here")
-    return ranked.select("doc_id", "n_tokens", "p.bucket", "bucket_len", F.floor(rank / F.col("cap")).alias("batch"), (rank % F.col("cap")).alias("slot"))
+    order = [F.asc("bucket"), F.asc_nulls_first("doc_id"), F.asc("n_tokens"), F.asc("h"), F.asc("salt")]
+    placed = sized.withColumn("bucket", bucket).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.select("doc_id", "n_tokens", "bucket", F.monotonically_increasing_id().alias("place")), "placed")
+    part = F.shiftright("place", 33)
+    counts = placed.groupBy(part.alias("part"), "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    start = counts.select("part", F.col("bucket").alias("of"), (F.col("first") - before).alias("start"))
+    rank = F.col("place") - F.col("start")
+    ranked = placed.join(F.broadcast(start), (part == F.col("part")) & (F.col("bucket") == F.col("of"))).withColumns({"bucket_len": upper.cast("long"), "cap": size})
+    return ranked.select("doc_id", "n_tokens", "bucket", "bucket_len", F.floor(rank / F.col("cap")).alias("batch"), (rank % F.col("cap")).alias("slot"))
 
 
 def sql(buckets: int = BUCKETS, budget: int = BUDGET) -> str:
