@@ -3,10 +3,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.common import DOCS, clashing, odd_rows, words
 from vellumry.llm import components, decontam, simhash, topk
+from vellumry.llm import textnum as tn
 
 
 def _bm25(docs, queries, k):
@@ -41,11 +43,41 @@ def test_topk_equals_brute_force_with_ties(spark):
 def test_topk_odd_rows(spark):
     queries = spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (None, "one"), (4, "unseen")], "item_id long, text string")
     found = topk.topk(clashing(spark, odd_rows()), queries, 2).collect()
-    assert [(r.query_id, r.doc_id) for r in sorted(found)] == [(1, 6), (1, 6)] or {r.query_id for r in found} == {1}
+    # Ids 6 (twice) and 7 have the same text, so the same score; 2 rows are wanted, and the lesser id comes first.
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in found) == [(1, 1, 6), (1, 2, 6)] and len({r.score for r in found}) == 1
+    three = topk.topk(clashing(spark, odd_rows()), queries, 4).collect()
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in three) == [(1, 1, 6), (1, 2, 6), (1, 3, 7)]
     assert topk.topk(spark.createDataFrame([], DOCS), queries).count() == 0
     assert topk.topk(clashing(spark, odd_rows()), queries.where("false")).count() == 0
 
 
+def test_letters_of_all_planes_are_words(spark):
+    docs = spark.createDataFrame([(1, "𠀀𠀁 𝐀𝐁"), (2, "𠀁 other"), (3, "😀 😀")], DOCS)
+    queries = spark.createDataFrame([(1, "𠀀𠀁"), (2, "😀")], "item_id long, text string")
+    assert [(r.query_id, r.doc_id) for r in topk.topk(docs, queries).collect()] == [(1, 1)]
+
+
+def test_queries_beyond_the_bound_raise(spark, monkeypatch):
+    monkeypatch.setattr(topk, "MOST_CHARS", 10)
+    queries = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    with pytest.raises(ValueError, match="13 characters"):
+        topk.topk(clashing(spark, odd_rows()), queries)
+    with pytest.raises(ValueError, match="13 characters"):
+        decontam.matches_column(clashing(spark, odd_rows()), queries, 10)
+
+
+def test_span_hashes_do_not_depend_on_their_chunks(monkeypatch):
+    text = " ".join(words(3000, 5)) + " " + "x" * 5000 + " " + " ".join(words(300, 5))
+    plain = tn.words([text])[0]
+    monkeypatch.setattr(tn, "CHUNK", 300)
+    tn._powers.cache_clear()
+    try:
+        assert (tn.words([text])[0] == plain).all() and (tn.words([text])[0][:300] == tn.words(["y " + text])[0][1:301]).all()
+    finally:
+        monkeypatch.undo()
+        tn._powers.cache_clear()
+
+
 def _distance(a, b):
     return int(np.bitwise_count(a[0] ^ b[0]) + np.bitwise_count(a[1] ^ b[1]))
 
@@ -191,7 +223,101 @@ def test_decontamination_odd_rows(spark):
     assert decontam.leaks(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_of_short_items_equals_brute_force():
+    rng = np.random.default_rng(11)
+    items, texts = [], []
+    for k in range(60):
+        m = int(rng.integers(1, 300)) if k % 2 else int(rng.integers(1, 40))
+        item = re.sub(r" +", " ", " ".join(words(60, 2000 + k))[:m]).strip() or "q"
+        items.append((k, item))
+        a = int(rng.integers(0, max(1, len(item) - 70)))
+        passage = list(item[a : a + 75] if len(item) >= 120 else item)
+        for p in rng.integers(0, len(passage), (0, 1, 2, 0, 3)[k % 5] if len(passage) > 5 else 0):
+            passage[p] = ("z", "")[p % 2]
+        texts.append(" ".join([*words(4, 3000 + k), "".join(passage), *words(4, 3100 + k)]) if k % 3 else "".join(passage))
+    texts += ["abcd abc", "abcabc", None, "", "ABC!"]
+    items += [(100, "abc"), (101, "answers"), (102, "a b"), (103, "the answer is"), (104, "seventeen letters")]
+    texts += ["with answers", "answers", "a b", "ya b", "a bc", "the answerx is", "so the answer is yes", "seventeen lettxrs of it", "seventeen letters", "sxventeen lettxrs"]
+    norm = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    found = decontam.contaminated(texts, decontam.unpacked(__import__("pickle").dumps(decontam.windows(items))))
+    for text, got in zip(texts, found):
+        want = []
+        for ident, item in items:
+            it, own = norm(item), norm(text)
+            if len(it) < decontam.Q:
+                hit = f" {it} " in f" {own} "
+            else:
+                budget = lambda p: (e if len(p) - 7 - 8 * e >= 1 else 0) if (e := math.floor(decontam.RATE * len(p))) else 0
+                passages = {it[a : a + decontam.WINDOW] for a in range(len(it) - decontam.WINDOW + 1)} | ({it} if len(it) < 2 * decontam.WINDOW else set())
+                hit = any(_least_edits(p, own) <= budget(p) for p in passages)
+            if hit:
+                want.append(ident)
+        assert got == want, text
+    assert sum(map(bool, found)) > 30
+
+
 @pytest.mark.parametrize("n", [0, 1, 33])
 def test_forest_reaches_all(n):
     fp = np.zeros((n, 2), np.uint64)
-    assert len(list(simhash._forest(fp, np.arange(n)))) == max(0, n - 1)
+    assert len(simhash._forest(fp, np.arange(n))[0]) == max(0, n - 1)
+
+
+def _flipped(rng, fp, n):
+    x = fp.copy()
+    for b in rng.choice(128, n, replace=False):
+        x[b // 64] ^= np.uint64(1) << np.uint64(int(b) % 64)
+    return x
+
+
+def _roots(n, edges):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(int(a)), find(int(b))))
+        root[y] = x
+    return [find(k) for k in range(n)]
+
+
+def _all_near(fp):
+    return [(a, a + 1 + int(b)) for a in range(len(fp)) for b in np.flatnonzero(simhash._far(fp[a + 1 :], fp[a]) <= simhash.RADIUS)]
+
+
+@pytest.mark.parametrize("prefix", [5, 9])
+def test_table_of_balls_finds_all_pairs(prefix):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (500, 2), dtype=np.int64).view(np.uint64)
+    fp = np.unique(np.concatenate([base, [_flipped(rng, base[rng.integers(500)], int(rng.integers(3, 25))) for _ in range(700)]]), axis=0)
+    batch = pa.RecordBatch.from_arrays([pa.array(fp[:, k].copy().view(np.int64)) for k in range(2)], names=["f0", "f1"])
+    blobs = pa.Table.from_batches(simhash._blobs(prefix, iter([batch]))).sort_by("part").combine_chunks()
+    at = {tuple(x): k for k, x in enumerate(fp.tolist())}
+    edges = [(at[a, b], at[c, d]) for out in simhash._match_parts(prefix, iter(blobs.to_batches())) for a, b, c, d in zip(*(x.to_numpy().view(np.uint64).tolist() for x in out.columns))]
+    assert _roots(len(fp), edges) == _roots(len(fp), _all_near(fp))
+
+
+def test_crowded_keys_lose_nothing(monkeypatch):
+    # Many under one key of segment 0, most of them far from each other, and fewer one flip away.
+    monkeypatch.setattr(simhash, "MANY", 40)
+    rng = np.random.default_rng(9)
+    fp = rng.integers(0, 2**63, (900, 2), dtype=np.int64).view(np.uint64)
+    fp = np.concatenate([fp, [_flipped(rng, fp[rng.integers(900)], int(rng.integers(3, 20))) for _ in range(200)]])
+    low = np.uint64((1 << 21) - 1)
+    fp[:, 0] = (fp[:, 0] & ~low) | np.where(np.arange(len(fp)) % 10 == 0, np.uint64(12345 ^ 8), np.uint64(12345))
+    fp = np.unique(fp, axis=0)
+    at = {tuple(x): k for k, x in enumerate(fp.tolist())}
+    want = _roots(len(fp), _all_near(fp))
+    assert _roots(len(fp), [(int(a), int(b)) for a, b in simhash._by_second_segment(fp, 0)]) == want
+    found = simhash._match(fp, *simhash._entries(fp, np.zeros(len(fp), np.uint8), 0, 5), 0)
+    assert _roots(len(fp), [(at[a, b], at[c, d]) for a, b, c, d in found.tolist()]) == want != list(range(len(fp)))
+
+
+def test_short_texts_have_fingerprints_of_their_own():
+    texts = ["one", "two", "one two", "two one", "one three", "alpha beta gamma", "alpha beta gamma delta", "beta gamma"]
+    fp, n = simhash.fingerprints(texts)
+    assert n.tolist() == [1, 1, 2, 2, 2, 3, 4, 2]
+    assert min(_distance(fp[a], fp[b]) for a in range(len(texts)) for b in range(a)) > simhash.RADIUS
+    assert (simhash.fingerprints([None, "", texts[2]])[0][2] == fp[2]).all()

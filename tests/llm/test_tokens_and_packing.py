@@ -89,6 +89,42 @@ def test_packing_odd_rows(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packing_of_sparse_repeated_and_missing_ids(spark):
+    # Ids far apart, a third of all rows alike in all, and null ids: ranks are exact, as a sort of all rows gives them.
+    rows = [(i * 1_000_003_777 - 10**12, " ".join(["w"] * (1 + i % 37))) for i in range(3000)] + [(7, "one two three")] * 2000 + [(None, "a b")] * 500
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    got = packing.pack(docs, 5, 256).collect()
+    assert len(got) == len(rows)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.bucket, []).append(r)
+    for own in by.values():
+        size = max(1, 256 // own[0].bucket_len)
+        own.sort(key=lambda r: (r.batch, r.slot))
+        assert [(r.batch, r.slot) for r in own] == [(k // size, k % size) for k in range(len(own))]
+        order = [(r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in own]
+        assert order == sorted(order)
+
+
+def test_packing_by_another_count(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "abc"), (2, "a b c d"), (3, None)], DOCS)
+    rows = packing.pack(docs, tokens=lambda t: F.coalesce(F.length(t), F.lit(1))).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {1: 3, 2: 7, 3: 1}
+
+
+def test_arrow_files_are_written_once_and_whole(spark):
+    import os
+
+    docs = spark.createDataFrame([(i, "some words to write") for i in range(100)], DOCS).repartition(4)
+    path = shared_dir(spark, "t")
+    index = arrow_out.write(docs, path, length=16, rows=8)
+    files = {f: os.stat(f"{path[7:]}/{f}").st_mtime_ns for f in os.listdir(path[7:])}
+    assert len(files) == 4 and len(index.limit(3).collect()) == 3 and index.count() == 100
+    assert files == {f: os.stat(f"{path[7:]}/{f}").st_mtime_ns for f in os.listdir(path[7:])}
+
+
 def test_arrow_files_round_trip(spark, known):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     path = shared_dir(spark, "t")
