@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 STATES = ("pending", "leased", "failed", "acked", "diagnostic")
 
@@ -19,12 +22,12 @@ def claimable(events: DataFrame, now: Column, n: int) -> DataFrame:
 
 
 def claim(events: DataFrame, now: Column, worker: str, lease: str, n: int, seconds: int) -> DataFrame:
-    """All events after the worker has claimed up to n of them. A worker with live leases gets none in addition."""
+    """All events after the worker has claimed up to n of them, 1 to 1000. A worker with live leases gets none in addition."""
+    if not 1 <= n <= 1000:
+        raise ValueError("a claim takes 1 to 1000 events")
     seconds = min(3600, max(1, seconds))
-    live = events.where((F.col("state") == "leased") & (F.col("worker_token") == worker) & (F.col("leased_until") > now)).limit(1).count()
-    if live:
-        return events
-    chosen = claimable(events, now, n).select("id").withColumn("__mine", F.lit(True))
+    live = events.where((F.col("state") == "leased") & (F.col("worker_token") == worker) & (F.col("leased_until") > now)).agg(F.count(F.lit(1)).alias("__live"))
+    chosen = claimable(events, now, n).select("id").crossJoin(F.broadcast(live)).where("__live = 0").select("id", F.lit(True).alias("__mine"))
     x = events.join(F.broadcast(chosen), "id", "left")
     mine = F.col("__mine").isNotNull()
     return x.withColumns(
@@ -68,42 +71,72 @@ def counters(events: DataFrame, now: Column) -> DataFrame:
     return events.where("state <> 'acked'").agg(n("pending"), n("leased"), n("failed"), n("diagnostic"), total("attempts"), total("reclaims"), total("failures"), age)
 
 
-def fold(rows: list[tuple[str, str | None, object]]) -> list[object]:
-    """Events that a session's log leaves committed. rows: (action, savepoint, event); action 'event' adds one, the rest are transaction controls.
+class Fold:
+    """A session's log, step by step: push() returns the events that the step commits. Only the open transaction's events are held.
 
     Outside a transaction an event stands at once. Rolling back to a mark drops what came after it and later marks; a rollback drops all that is open.
     """
-    done, pending, marks, open_ = [], [], {}, False
-    for action, point, event in rows:
+
+    def __init__(self, held: dict | None = None):
+        self.pending, self.marks, self.open = (held["pending"], held["marks"], held["open"]) if held else ([], {}, False)
+
+    def held(self) -> dict:
+        """What Fold() takes to go on from here."""
+        return {"pending": self.pending, "marks": self.marks, "open": self.open}
+
+    def push(self, action: str, point: str | None, event: object) -> list[object]:
         if action == "event":
-            (pending if open_ else done).append(event)
+            if not self.open:
+                return [event]
+            self.pending.append(event)
         elif action in ("begin", "commit", "commit_chain", "autocommit_1"):
-            done += pending
-            pending, marks, open_ = [], {}, action in ("begin", "commit_chain")
+            done = self.pending
+            self.pending, self.marks, self.open = [], {}, action in ("begin", "commit_chain")
+            return done
         elif action in ("rollback", "rollback_chain"):
-            pending, marks, open_ = [], {}, action == "rollback_chain"
+            self.pending, self.marks, self.open = [], {}, action == "rollback_chain"
         elif action == "autocommit_0":
-            open_ = True
+            self.open = True
         elif action == "savepoint":
-            marks[point] = len(pending)
+            self.marks[point] = len(self.pending)
         elif action == "release_savepoint":
-            marks.pop(point, None)
-        elif action == "rollback_to" and point in marks:
-            at = marks[point]
-            pending = pending[:at]
-            marks = {k: v for k, v in marks.items() if v <= at}
-    return done
+            self.marks.pop(point, None)
+        elif action == "rollback_to" and point in self.marks:
+            at = self.marks[point]
+            del self.pending[at:]
+            self.marks = {k: v for k, v in self.marks.items() if v <= at}
+        return []
 
 
-def committed(log: DataFrame) -> DataFrame:
-    """(session, event) from a log (session, seq, action, savepoint, event), each session folded in order of seq. What is still open at its end doesn't count."""
+def fold(rows: list[tuple[str, str | None, object]]) -> list[object]:
+    """Events that a whole log of one session leaves committed. rows: (action, savepoint, event)."""
+    state = Fold()
+    return [e for row in rows for e in state.push(*row)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        kept = fold(list(zip(pdf["action"], pdf["savepoint"], pdf["event"])))
-        return pd.DataFrame({"session": [pdf["session"].iloc[0]] * len(kept), "event": kept}).astype({"session": "int64", "event": "int64"})
 
-    return log.select("session", "seq", "action", "savepoint", "event").groupBy("session").applyInPandas(run, "session long, event long")
+def _folded(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by session and seq, folded as they pass."""
+    at, state = object(), Fold()
+    for b in batches:
+        sessions, events = [], []
+        for session, action, point, event in zip(*(b.column(c).to_pylist() for c in ("session", "action", "savepoint", "event"))):
+            if session != at:
+                at, state = session, Fold()
+            for e in state.push(action, point, event):
+                sessions.append(session)
+                events.append(e)
+        yield pa.RecordBatch.from_arrays([pa.array(sessions, schema.field(0).type), pa.array(events, schema.field(1).type)], schema=schema)
+
+
+def committed(log: DataFrame) -> DataFrame:
+    """(session, event) from a log (session, seq, action, savepoint, event), each session folded in order of seq. What is still open at its end doesn't count.
+
+    A session's log is a stream within one task, of which only the open transaction is held, however long the session is.
+    """
+    out = log.select("session", "event").schema
+    arrow = to_arrow_schema(out)
+    ordered = log.select("session", "seq", "action", "savepoint", "event").repartition("session").sortWithinPartitions("session", "seq")
+    return ordered.mapInArrow(lambda it: _folded(arrow, it), out)
 
 
 def normalized(events: DataFrame) -> DataFrame:
@@ -111,8 +144,6 @@ def normalized(events: DataFrame) -> DataFrame:
     return events.withColumn("tables", F.array_sort(F.array_distinct("tables"))).dropDuplicates(["event_id"])
 
 
-
-
 def fenced(claims: DataFrame) -> DataFrame:
     """(resource, fence, stale): the token that holds each resource, and how many older ones it shuts out."""
     return claims.groupBy("resource").agg(F.max("fence").alias("fence"), (F.count(F.lit(1)) - 1).alias("stale"))
