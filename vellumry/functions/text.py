@@ -1,7 +1,11 @@
-"""Names, keys, dates and digests as Spark columns: built-in expressions only, so they stay inside generated code."""
+"""Names, keys, dates and digests as Spark columns: built-in expressions, so they stay inside generated code; Arrow batches for JSON of any depth alone."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +15,9 @@ EPHEMERAL_PREFIXES = ("_transient_", "_site_transient_", "_wp_session_", "_edit_
 
 
 def slug(name: Column) -> Column:
-    """A path segment: characters other than ASCII letters, digits, _ and - become -, edges are trimmed; nothing left gives 'unnamed'."""
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(name, r"[^a-zA-Z0-9_-]", "-"), F.lit("-")), F.lit("")), F.lit("unnamed"))
+    """A path segment: bytes (of UTF-8) other than ASCII letters, digits, _ and - become -, edges are trimmed; nothing left gives 'unnamed'."""
+    bytes_ = F.decode(F.encode(name, "UTF-8"), "ISO-8859-1")
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(bytes_, r"[^a-zA-Z0-9_-]", "-"), F.lit("-")), F.lit("")), F.lit("unnamed"))
 
 
 def safe_segment(name: Column) -> Column:
@@ -75,6 +80,36 @@ def safe_path(path: Column) -> Column:
     return (path != "") & ~path.rlike(r"^/|\\|[\x00-\x1f]|(^|/)\.{0,2}(/|$)")
 
 
+def normalized_path(path: Column) -> Column:
+    """Slashes alone, no empty and no . segment, and each .. with the segment before it taken out; null if .. leads above the beginning."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda s: (s != "") & (s != "."))
+    up = F.lit("..")
+    step = lambda held, s: F.when(s != up, F.concat(held, F.array(s))).when(F.size(held) > 0, F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.lit(None))
+    out = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), out)).otherwise(out)
+
+
+def exact_identity(as_json: Column) -> Column:
+    """SHA-256 of a JSON value written with its keys in order at every depth and no blanks; lists keep their order. Malformed text gives null."""
+    return F.sha2(F.arrow_udf(_canonical, "string")(as_json), 256)
+
+
+def canonical_json(as_json: Column) -> Column:
+    """The JSON that exact_identity() digests."""
+    return F.arrow_udf(_canonical, "string")(as_json)
+
+
+def _canonical(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    for b in batches:
+        yield pa.array([one(t) for t in b.to_pylist()], pa.string())
+
+
 def listed(text: Column) -> Column:
     """The trimmed, non-empty items of a comma-separated list."""
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -52,6 +52,17 @@ def of_content_types(posts: DataFrame, excluded: tuple[str, ...], column: str =
     return posts.where(~F.col(column).isin(*excluded)) if excluded else posts
 
 
+def without_drafts(posts: DataFrame, status: str = "post_status") -> DataFrame:
+    """Without auto-drafts; posts whose status isn't known stay."""
+    return posts.where(F.coalesce(F.col(status) != "auto-draft", F.lit(True)))
+
+
+def installed(options: DataFrame, *site: str) -> DataFrame:
+    """(site columns, installed): whether the site's options hold a siteurl that isn't empty."""
+    has = F.count_if((F.col("option_name") == "siteurl") & (F.coalesce("option_value", F.lit("")) != ""))
+    return options.groupBy(*site).agg((has > 0).alias("installed"))
+
+
 @dataclass(frozen=True)
 class TablePolicy:
     """How each table's rows last: not at all, in row partitions, or as one snapshot."""
@@ -90,6 +101,11 @@ def sorted_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
 
 
+def pretty_json(fields: dict[str, Column]) -> Column:
+    """JSON over several lines, characters and slashes as they are, nulls kept."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"pretty": "true", "ignoreNullFields": "false"})
+
+
 def matched_terms(slugs: DataFrame, keys: DataFrame) -> DataFrame:
     """(object_id, term_taxonomy_id) for slugs (object_id, taxonomy, slug) known in keys (term_key, term_taxonomy_id); unknown ones are left out."""
     return slugs.withColumn("term_key", F.concat_ws("::", "taxonomy", "slug")).join(keys, "term_key").select("object_id", "term_taxonomy_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumry.session import written
+
 
 def ranked_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Of each key the first row in this order. Rank-limited windows shed most rows before the shuffle."""
@@ -25,13 +27,15 @@ def first_wins(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
 def assigned_ids(rows: DataFrame, start: int, order: str, into: str = "ID") -> DataFrame:
     """Consecutive ids from start + 1, in this order.
 
-    Ranks come from counts per range partition, so no task holds all rows: rows are range-partitioned once, counted, and numbered inside each.
+    Rows are range-partitioned and sorted once and written with their places, so ids follow from what was written, whatever runs again; counts of the partitions,
+    of which there are few, give what lies before each.
     """
-    placed = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    placed = written(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__place", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__place", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    here = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return placed.withColumn("__here", here).join(F.broadcast(before), "__part").withColumn(into, F.lit(start) + F.col("__before") + F.col("__here")).drop("__part", "__before", "__here")
+    here = F.col("__place") - F.shiftleft(part, 33) + 1
+    return placed.join(F.broadcast(before), part == F.col("__part")).withColumn(into, F.lit(start) + F.col("__before") + here).drop("__part", "__before", "__n", "__place")
 
 
 def next_id(df: DataFrame, key: str = "ID", least: int = 1) -> DataFrame:

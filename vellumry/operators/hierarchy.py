@@ -8,35 +8,50 @@ from pyspark.sql import functions as F
 from vellumry.session import written
 
 
-def ancestors(nodes: DataFrame, start: DataFrame | None = None, ident: str = "ID", parent: str = "post_parent", most: int = 1000) -> DataFrame:
+def _edges(nodes: DataFrame, ident: str, parent: str) -> DataFrame:
+    """(a, b): each node and its parent, if that is a node."""
+    known = nodes.where(F.col(parent).isNotNull()).join(nodes.select(F.col(ident).alias("__p")), F.col(parent) == F.col("__p"), "left_semi")
+    return known.select(F.col(ident).alias("a"), F.col(parent).alias("b")).where("a <> b").distinct()
+
+
+def ancestors(nodes: DataFrame, start: DataFrame | None = None, ident: str = "ID", parent: str = "post_parent") -> DataFrame:
     """(ID, ancestor, distance) for every node, or those of start; a node met before ends the walk, so cycles end.
 
-    Pointer doubling: after round r chains of length 2^r are known, so rounds grow as the logarithm of the depth; each is
-    written to the shared folder, so that none is computed twice.
+    For every node by pointer doubling: after round r chains of length 2^r are known, so rounds grow as the logarithm of the depth. For those of start by one step up a
+    round, in which only their own chains take part. Rounds go on until nothing new comes, whatever the depth; each is written to the shared folder, so that
+    none is computed twice.
     """
-    edges = nodes.where(F.col(parent).isNotNull()).join(nodes.select(F.col(ident).alias("__p")), F.col(parent) == F.col("__p"), "left_semi")
-    step = edges.select(F.col(ident).alias("a"), F.col(parent).alias("b")).where("a <> b").distinct()
-    known = step.select("a", "b", F.lit(1).alias("d"))
-    reach = 1
-    while reach < most:
+    edges = _edges(nodes, ident, parent)
+    if start is not None:
+        edges = written(edges, "edges")
+        last = written(start.select(F.col("ID").alias("a")).distinct().join(edges, "a").select("a", "b", F.lit(1).alias("d")), "ancestors")
+        known = last
+        while not last.isEmpty():
+            up = last.alias("x").join(edges.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.d") + 1).alias("d")).where("a <> b")
+            last = written(up.join(known, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.min("d").alias("d")), "ancestors")
+            known = known.unionByName(last)
+        return known.select(F.col("a").alias("ID"), F.col("b").alias("ancestor"), F.col("d").alias("distance"))
+    known, reach = edges.select("a", "b", F.lit(1).alias("d")), 1
+    while True:
         longer = known.where(F.col("d") == reach).alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.d") + F.col("y.d")).alias("d")).where("a <> b")
         known = written(known.unionByName(longer).groupBy("a", "b").agg(F.min("d").alias("d")), "ancestors")
         if known.where(F.col("d") > reach).isEmpty():
             break
         reach *= 2
-    found = known.select(F.col("a").alias("ID"), F.col("b").alias("ancestor"), F.col("d").alias("distance"))
-    return found if start is None else found.join(start.select("ID").distinct(), "ID", "left_semi")
+    return known.select(F.col("a").alias("ID"), F.col("b").alias("ancestor"), F.col("d").alias("distance"))
 
 
 def descendants(nodes: DataFrame, root: int, ident: str = "ID", parent: str = "post_parent") -> DataFrame:
-    """(ID, depth) of all nodes below root, by recursion in SQL with the ids on the path as a guard against cycles."""
-    nodes.select(F.col(ident).alias("ID"), F.col(parent).alias("P")).createOrReplaceTempView("__tree_nodes")
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE t(ID, depth, seen) AS (
-          SELECT ID, 1, array(CAST({int(root)} AS BIGINT), ID) FROM __tree_nodes WHERE P = {int(root)} AND ID <> {int(root)}
-          UNION ALL SELECT n.ID, t.depth + 1, array_append(t.seen, n.ID) FROM __tree_nodes n JOIN t ON n.P = t.ID WHERE NOT array_contains(t.seen, n.ID))
-        SELECT ID, depth FROM t"""
-    )
+    """(ID, depth) of all nodes below root, one level a round, whatever the depth; a node met before isn't met again, so cycles end."""
+    down = written(nodes.select(F.col(ident).cast("long").alias("ID"), F.col(parent).cast("long").alias("P")).where("P IS NOT NULL AND P <> ID"), "edges")
+    last = written(down.where((F.col("P") == root) & (F.col("ID") != root)).select("ID", F.lit(1).alias("depth")).distinct(), "descendants")
+    found, depth = last, 1
+    while not last.isEmpty():
+        depth += 1
+        below = down.join(last.select(F.col("ID").alias("P")), "P").where(F.col("ID") != root).select("ID").distinct()
+        last = written(below.join(found, "ID", "left_anti").select("ID", F.lit(depth).alias("depth")), "descendants")
+        found = found.unionByName(last)
+    return found
 
 
 def with_depth(nodes: DataFrame, ident: str = "ID", parent: str = "post_parent") -> DataFrame:
@@ -66,8 +81,7 @@ def parents_of_paths(files: DataFrame) -> DataFrame:
 
 
 def recoverable(nodes: DataFrame, root: int, least: int, limit: int) -> DataFrame:
-    """(ID, depth) below root with an id of at least `least`, parents first, the first `limit`."""
-    up = ancestors(nodes)
-    depth = up.groupBy("ID").agg(F.max("distance").alias("depth"))
-    under = up.where(F.col("ancestor") == root).select("ID")
-    return depth.join(under, "ID", "left_semi").where(F.col("ID") >= least).orderBy("depth", "ID").limit(limit)
+    """(ID, depth) below root with an id of at least `least`, parents first, the first `limit`. depth counts from the top of the tree; only the root's own ancestors and
+    what lies below it are walked."""
+    above = ancestors(nodes, nodes.where(F.col("ID") == root).select("ID")).count()
+    return descendants(nodes, root).select("ID", (F.col("depth") + above).alias("depth")).where(F.col("ID") >= least).orderBy("depth", "ID").limit(limit)

@@ -31,3 +31,12 @@ def key_changes(old: DataFrame, new: DataFrame, keys: list[str], value: str) ->
     a, b = old.select(*keys, F.col(value).alias("__a"), F.lit(True).alias("__in_a")), new.select(*keys, F.col(value).alias("__b"), F.lit(True).alias("__in_b"))
     change = F.when(F.col("__in_a").isNull(), "created").when(F.col("__in_b").isNull(), "deleted").when(~F.col("__a").eqNullSafe(F.col("__b")), "changed")
     return a.join(b, keys, "full_outer").withColumn("change", change).where("change IS NOT NULL").select(*keys, "change")
+
+
+def change_counts(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row of an import's counters: how many keys of new are created, updated and skipped (alike), and how many of old alone stay as they are."""
+    a, b = old.select(*keys, F.col(value).alias("__a"), F.lit(True).alias("__in_a")), new.select(*keys, F.col(value).alias("__b"), F.lit(True).alias("__in_b"))
+    both, alike = F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull(), F.col("__a").eqNullSafe(F.col("__b"))
+    return a.join(b, keys, "full_outer").agg(
+        F.count_if(F.col("__in_a").isNull()).alias("created"), F.count_if(both & ~alike).alias("updated"), F.count_if(both & alike).alias("skipped"), F.count_if(F.col("__in_b").isNull()).alias("kept")
+    )

@@ -64,6 +64,33 @@ def classify(states: DataFrame, direction: str = "bidirectional", deletion: str
     return x.withColumnsRenamed({"__cat": "category", "__why": "reason"})
 
 
+def outcomes(entries: DataFrame) -> DataFrame:
+    """Add effect and next to classified (c, w, b): to_store, to_files, drop_from_store, drop_from_files or null; and the identity that both sides then agree on, which
+    is the next baseline (null: none). Conflicts and what is unchanged change nothing and keep their baseline."""
+    cat = F.col("category")
+    effect = F.when(cat.isin("created", "updated_from_file"), "to_store").when(cat == "written_from_wordpress", "to_files").when(cat == "deleted_from_file", "drop_from_store").when(cat == "deleted_from_wordpress", "drop_from_files")
+    after = F.when(cat.isin("created", "updated_from_file", "moved"), F.col("c")).when(cat == "written_from_wordpress", F.col("w")).when(cat.isin("conflicts", "unchanged"), F.col("b"))
+    return entries.withColumn("effect", effect).withColumn("next", after)
+
+
+def applied(entries: DataFrame) -> DataFrame:
+    """The states (c, w, b) that outcomes() leads to, other columns as they are; resources that are then on no side are gone. Nothing is moved any more."""
+    x = outcomes(entries)
+    c = F.when(F.col("effect") == "to_files", F.col("w")).when(F.coalesce(F.col("effect") != "drop_from_files", F.lit(True)), F.col("c"))
+    w = F.when(F.col("effect") == "to_store", F.col("c")).when(F.coalesce(F.col("effect") != "drop_from_store", F.lit(True)), F.col("w"))
+    after = x.withColumns({"c": c, "w": w, "b": F.col("next")}).drop("category", "reason", "effect", "next")
+    after = after.withColumn("moved", F.lit(False)) if "moved" in after.columns else after
+    return after.where("c IS NOT NULL OR w IS NOT NULL")
+
+
+def validated(states: DataFrame, key: str) -> DataFrame:
+    """(c, w, b) states as they are; a key that is null or repeats, or a resource that is on no side, raises."""
+    bad = states.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("c", "w", "b").isNull()).alias("absent")).where((F.col("n") > 1) | (F.col("absent") > 0) | F.col(key).isNull()).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0][key]} has {bad[0].n} states, {bad[0].absent} of them on no side")
+    return states
+
+
 def category_counts(entries: DataFrame) -> DataFrame:
     """(category, n) for all eight categories, zeros included."""
     spark = entries.sparkSession

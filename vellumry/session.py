@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,12 +23,24 @@ SETTINGS = {
 }
 
 
+_ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers that share this file system import the package, whatever folder the driver runs in."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    return spark
+
+
 def open_session(master: str | None = None, **settings: str) -> SparkSession:
     """A session with SETTINGS, then `settings` (dots as __). On a cluster the master comes from its own configuration."""
     b = SparkSession.builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
     if master or "SPARK_MASTER" in os.environ:
         b = b.master(master or os.environ["SPARK_MASTER"])
-    return b.getOrCreate()
+    return reachable(b.getOrCreate())
 
 
 def sql_over(statement: str, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -49,11 +64,17 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which all executors share. Only where that isn't set (tests, a laptop) this machine's own folder serves."""
+    """A fresh path below spark.checkpoint.dir, which all executors share.
+
+    Only where that isn't set and the master is local (tests, a laptop) a folder of this machine is made, and deleted when the program ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="vellumry-"))
+            atexit.register(shutil.rmtree, _own[0][7:], ignore_errors=True)
         base = _own[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -7,6 +7,7 @@ created it: that is compare-and-swap, so two writers can't both win, and a reade
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Iterator
@@ -38,16 +39,40 @@ class Folder:
         return sorted(int(n[2:-5]) for n in names if n.startswith("m-") and n.endswith(".json"))
 
     def put(self, number: int, record: dict) -> None:
-        """Create record `number`; Conflict if it exists."""
+        """Create record `number`, whole or not at all; Conflict if it exists. Other errors pass through.
+
+        It is written under a name of its own and then renamed without overwriting, so no reader meets an empty one. The path must lie on a file system whose
+        rename is atomic (a local or distributed one, not an object store).
+        """
+        final, aside = self._at(f"{self.path}/m-{number:020d}.json"), self._at(f"{self.path}/_{uuid.uuid4().hex}.tmp")
+        out = self.fs.create(aside, False)
+        try:
+            out.write(bytearray(json.dumps(record, sort_keys=True).encode()))
+        finally:
+            out.close()
         try:
-            out = self.fs.create(self._at(f"{self.path}/m-{number:020d}.json"), False)
-        except Exception as e:
-            raise Conflict(f"record {number} of {self.path} exists") from e
-        out.write(bytearray(json.dumps(record, sort_keys=True).encode()))
-        out.close()
+            if not self._linked(aside, final):
+                raise Conflict(f"record {number} of {self.path} exists")
+        finally:
+            self.fs.delete(aside, False)
+
+    def _linked(self, aside, final) -> bool:
+        """Rename without overwriting. A local rename overwrites, so there the file is hard-linked, which fails if the name is taken."""
+        if self.fs.getScheme() == "file":
+            try:
+                os.link(aside.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        return not self.fs.exists(final) and bool(self.fs.rename(aside, final))
 
     def get(self, number: int) -> dict:
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/m-{number:020d}.json").collect()))
+        """Record `number`, read through the file system, without a Spark job."""
+        stream = self.fs.open(self._at(f"{self.path}/m-{number:020d}.json"))
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
 
     def latest(self) -> tuple[int, dict | None]:
         n = self.numbers()
@@ -73,19 +98,23 @@ class Store:
             raise FileNotFoundError(f"{name} has no generation")
         return self.spark.read.parquet(f"{folder.path}/{record['data']}")
 
-    def publish(self, name: str, rows: DataFrame, expected: int | None = None, partition_by: tuple[str, ...] = ()) -> int:
-        """Write rows and make them current. expected: the generation that they were made from; Conflict if another has come since."""
+    def publish(self, name: str, rows: DataFrame, expected: int | None = None, partition_by: tuple[str, ...] = (), **notes) -> int:
+        """Write rows and make them current. expected: the generation that they were made from; Conflict if another has come since. notes: kept in the marker."""
         folder = self._folder(name)
         base = folder.latest()[0] if expected is None else expected
         data = f"g-{uuid.uuid4().hex}"
         rows.write.partitionBy(*partition_by).parquet(f"{folder.path}/{data}")
         try:
-            folder.put(base + 1, {"data": data, "at": time.time()})
+            folder.put(base + 1, {"data": data, "at": time.time()} | notes)
         except Conflict:
             folder.fs.delete(folder._at(f"{folder.path}/{data}"), True)
             raise
         return base + 1
 
+    def notes(self, name: str) -> dict:
+        """What the current generation's marker says; empty if there is none."""
+        return self._folder(name).latest()[1] or {}
+
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> int:
         at = self.generation(name)
         return self.publish(name, merge.upsert(self.read(name, at), rows, keys) if at else rows, at)
@@ -157,6 +186,12 @@ class Journal:
     def get(self, ident: str) -> dict | None:
         return self._folder(ident).latest()[1]
 
+    def idents(self) -> list[str]:
+        """All operations."""
+        folder = self._folder("")
+        at = folder._at(self.root)
+        return sorted(s.getPath().getName() for s in folder.fs.listStatus(at) if s.isDirectory()) if folder.fs.exists(at) else []
+
     def _move(self, record: dict, **to) -> dict:
         new = record | to | {"revision": record["revision"] + 1}
         if new["state"] not in _NEXT[record["state"]]:
