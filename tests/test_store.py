@@ -35,12 +35,29 @@ def test_scan_and_parse(spark, tree):
 
 def test_commands(spark, tree, tmp_path, capsys):
     where = ["--files", tree, "--store", f"file://{tmp_path}/s"]
-    assert main(["import", *where], spark) == {"generation": 1, "posts": 3}
-    assert main(["doctor", *where], spark) == {"generation": 1, "files": 4, "posts": 3}
-    assert main(["reconcile", *where], spark)["unchanged"] == 3
+    assert main(["import", *where], spark) == {"generation": 1, "cold": True, "posts": 3, "ids_written": 1}
+    found = main(["doctor", *where], spark)
+    assert (found["files"], found["posts"], found["orphan_files"]) == (4, 3, 1)  # one file has no frontmatter
+    assert main(["reconcile", *where], spark)["counts"]["unchanged"] == 3
     out = ["--files", f"{tmp_path}/out", "--store", f"file://{tmp_path}/s"]
-    assert main(["export", *out], spark) == {"written": 3}
-    assert (tmp_path / "out/wiki/child.md").read_text().endswith("\n\nno id\n")
+    assert main(["export", *out], spark) == {"created": 3, "changed": 0, "deleted": 0}
+    assert (tmp_path / "out/wiki/guide/child.md").read_text().endswith("\n\nno id\n")
+    assert main(["migrate", "--files", f"{tmp_path}/out"], spark) == {"scanned": 3, "migrated": 3, "skipped": 0, "malformed": 0}
+    assert main(["reconcile", "--files", f"{tmp_path}/out", "--store", f"file://{tmp_path}/s2", "--apply"], spark)["operation"] == "completed"
+
+
+def test_recovery_from_a_database_left_behind(spark, tmp_path, capsys):
+    from vellumry.operators import documents
+
+    own = [c for c, *_ in documents.COLUMNS if c != "source_identity"]
+    with sqlite3.connect(tmp_path / "old.db") as db:
+        db.execute(f"CREATE TABLE wp_posts ({', '.join(own)})")
+        for i, up in ((10, 0), (19, 10), (20, 19), (21, 20), (22, 0)):
+            db.execute("INSERT INTO wp_posts (ID, post_parent, post_name, post_type, post_title) VALUES (?, ?, ?, 'wiki', 't')", (i, up, f"n{i}"))
+    where = ["--files", str(tmp_path / "f"), "--store", f"file://{tmp_path}/s", "--root-id", "10", "--least-id", "20", "--database", str(tmp_path / "old.db")]
+    assert main(["recover", *where], spark) == {"candidates": [20, 21], "imported": 0, "skipped": 0}
+    assert main(["recover", *where, "--apply"], spark) == {"candidates": [20, 21], "imported": 3, "skipped": 0}
+    assert main(["recover", *where, "--apply"], spark)["skipped"] == 3
 
 
 def test_generations(spark, tmp_path):
@@ -104,24 +121,44 @@ def test_registry_and_capabilities():
 
 
 def test_streamed_transactions(spark, tmp_path):
-    src = str(tmp_path / "log")
+    src, dead = str(tmp_path / "log"), str(tmp_path / "dead")
     row = lambda s, q, a, e=None, p=None: (s, q, a, p, e, None)
-    spark.createDataFrame([row(1, 1, "begin"), row(1, 2, "event", 10), row(2, 1, "event", 20)], streamed.LOG).coalesce(1).write.parquet(src)
-    got, bad = [], [True]
+    spark.createDataFrame([row(1, 1, "begin"), row(1, 2, "event", 10), row(2, 1, "event", 20), row(2, 2, "event", 21)], streamed.LOG).coalesce(1).write.parquet(src)
+    got = set()
 
-    def handle(batch):
+    def handle(batch, refused=(20,)):
         rows = [(r.session, r.event) for r in batch.collect()]
-        if rows and bad.pop():
-            bad.append(False)
-            raise RuntimeError("first time")
-        bad.append(False)
-        got.extend(rows)
+        if any(e in refused for _, e in rows):
+            raise RuntimeError("refused")
+        got.update(rows)
 
     def run():
-        streamed.deliver(streamed.committed_stream(streamed.log_stream(spark, src)), handle, str(tmp_path / "cp"), str(tmp_path / "dead"), once=True).awaitTermination(120)
+        streamed.deliver(streamed.committed_stream(streamed.log_stream(spark, src)), handle, str(tmp_path / "cp"), dead, once=True).awaitTermination(120)
 
     run()
-    assert got == [] and [r.event for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [20]
+    # The record that is refused takes none of its batch with it, and can be tried again.
+    assert got == {(2, 21)} and [(r.event, r.error) for r in spark.read.parquet(dead).collect()] == [(20, "RuntimeError: refused")]
     spark.createDataFrame([row(1, 3, "savepoint", p="s"), row(1, 4, "event", 11), row(1, 5, "rollback_to", p="s"), row(1, 6, "commit")], streamed.LOG).coalesce(1).write.mode("append").parquet(src)
     run()
-    assert got == [(1, 10)]
+    assert got == {(2, 21), (1, 10)}
+    assert streamed.redeliver(spark, dead, handle) == 1 and streamed.redeliver(spark, dead, lambda b: handle(b, ())) == 0
+    assert got == {(2, 21), (1, 10), (2, 20)}
+
+
+def test_windowed_counts_leave_late_rows_out(spark, tmp_path):
+    src, out = str(tmp_path / "log"), []
+    at = lambda minute: f"2024-01-01 00:{minute:02d}:00"
+    put = lambda *rows: spark.createDataFrame([(1, k, a, None, None, m) for k, (a, m) in enumerate(rows)], "session long, seq long, action string, savepoint string, event long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+    counts = streamed.windowed_counts(streamed.log_stream(spark, src, 1), "10 minutes", "5 minutes").select(F.date_format("window.start", "HH:mm").alias("w"), "action", "n")
+
+    def run():
+        q = counts.writeStream.outputMode("update").foreachBatch(lambda b, _: out.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    put(("event", at(1)), ("event", at(2)), ("begin", at(7)))
+    run()
+    put(("event", at(40)))
+    run()
+    put(("event", at(3)), ("event", at(41)))  # the first is more than ten minutes late
+    run()
+    assert sorted(out) == [("00:00", "event", 2), ("00:05", "begin", 1), ("00:40", "event", 1), ("00:40", "event", 2)]

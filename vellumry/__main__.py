@@ -1,48 +1,48 @@
-"""python -m vellumry COMMAND: import, export, reconcile, doctor, recover. Prints JSON."""
+"""python -m vellumry COMMAND: import, export, reconcile, migrate, doctor, recover. Prints JSON."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
-from pyspark.sql import functions as F
-
-from vellumry.operators import content, hierarchy, reconcile
+from vellumry import commands
+from vellumry.operators import documents, reconcile
 from vellumry.session import open_session
-from vellumry.sources import content_files
-from vellumry.store import Store, write_files
 
 
 def main(args: list[str] | None = None, spark=None) -> dict:
     p = argparse.ArgumentParser(prog="vellumry")
-    p.add_argument("command", choices=("import", "export", "reconcile", "doctor", "recover"))
+    p.add_argument("command", choices=("import", "export", "reconcile", "migrate", "doctor", "recover"))
     p.add_argument("--files", required=True)
-    p.add_argument("--store", required=True)
+    p.add_argument("--store", help="where generations are kept")
+    p.add_argument("--excluded", nargs="*", default=(), help="types without files")
+    p.add_argument("--profile", choices=documents.PROFILES, default="native")
+    p.add_argument("--apply", action="store_true", help="carry out what reconcile or recover would else only list")
+    p.add_argument("--plan-id")
+    p.add_argument("--source-identity")
+    p.add_argument("--direction", choices=reconcile.DIRECTIONS, default="bidirectional")
+    p.add_argument("--deletion", choices=reconcile.DELETIONS, default="preserve")
+    p.add_argument("--preference", choices=reconcile.PREFERENCES, default="none")
     p.add_argument("--root-id", type=int, default=0)
     p.add_argument("--least-id", type=int, default=0)
     p.add_argument("--limit", type=int, default=100)
-    p.add_argument("--direction", choices=reconcile.DIRECTIONS, default="bidirectional")
+    p.add_argument("--database", help="a SQLite file left behind")
     a = p.parse_args(args)
-    spark = spark or open_session()
-    store = Store(spark, a.store)
+    if a.command != "migrate" and not a.store:
+        p.error("--store is required")
+    spark, excluded = spark or open_session(), tuple(a.excluded)
     if a.command == "import":
-        out = {"generation": store.publish("posts", content_files.posts(spark, a.files)), "posts": store.read("posts").count()}
+        out = commands.import_files(spark, a.files, a.store, excluded)
     elif a.command == "export":
-        posts = store.read("posts")
-        path = F.concat_ws("/", "post_type", F.concat("post_name", F.lit(".md")))
-        rows = posts.select(path.alias("path"), content.as_file({"id": F.col("ID"), "title": F.col("post_title"), "status": F.col("post_status")}, F.col("post_content")).alias("file"))
-        out = {"written": write_files(rows, a.files).count()}
+        out = commands.export_files(spark, a.files, a.store, a.profile, excluded)
     elif a.command == "reconcile":
-        digest = F.sha2(F.concat_ws("\x1f", "post_title", "post_status", "post_content"), 256).alias("digest")
-        side = lambda df: df.select("ID", digest)
-        base = store.read("baseline") if store.generation("baseline") else side(store.read("posts").limit(0))
-        entries = reconcile.classify(reconcile.three_way(side(content_files.posts(spark, a.files)), side(store.read("posts")), base, "ID"), a.direction)
-        out = {r.category: r.n for r in reconcile.category_counts(entries).collect()}
+        out = commands.reconcile(spark, a.files, a.store, a.apply, a.plan_id, a.source_identity, direction=a.direction, deletion=a.deletion, preference=a.preference)
+    elif a.command == "migrate":
+        out = commands.migrate(spark, a.files, excluded)
     elif a.command == "doctor":
-        out = {"generation": store.generation("posts"), "files": content_files.manifest(spark, a.files).count(), "posts": store.read("posts").count() if store.generation("posts") else 0}
+        out = commands.doctor(spark, a.files, a.store)
     else:
-        found = hierarchy.recoverable(store.read("posts"), a.root_id, a.least_id, a.limit)
-        out = {"candidates": [r.ID for r in found.collect()]}
+        out = commands.recover(spark, a.files, a.store, a.root_id, a.least_id, a.limit, a.database, dry=not a.apply)
     print(json.dumps(out, sort_keys=True))
     return out
 
