@@ -21,38 +21,45 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _cases(rules, value) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(sql, {_quoted(r[-1])}) THEN {value(r)}" for r in rules) + " END"
-
-
-_OP = f"coalesce({_cases(mutations.RULES, lambda r: _quoted(r[0]))}, CASE WHEN regexp_matches(sql, '(?is)^\\s*DELETE\\s+.+?\\s+FROM\\s+.+?\\s+WHERE\\b') THEN 'DELETE' END)"
-
-
-@query(f"SELECT n, {_OP} AS operation, {_cases(mutations.RULES, lambda r: f'regexp_extract(sql, {_quoted(r[-1])}, 1)')} AS table_name FROM {roles.statements_sql()}")
+@query(roles.expected_sql("n, operation, table_name"))
 def m1_classified(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("sql")
-    return roles.statements(spark).select("n", mutations.operation(s).alias("operation"), mutations.table_of(s).alias("table_name"))
+    return roles.statements(spark, sf).select("n", mutations.operation(s).alias("operation"), mutations.table_of(s).alias("table_name"))
 
 
-@query(f"SELECT n, {_cases(mutations.CONTROLS, lambda r: _quoted(r[0]))} AS action FROM {roles.statements_sql()}")
+@query(roles.expected_sql("n, action, CASE WHEN action IN ('savepoint', 'rollback_to', 'release_savepoint') THEN 'sp' || n END AS savepoint"))
 def m2_transaction_control(spark: SparkSession, sf: str) -> DataFrame:
-    return roles.statements(spark).select("n", mutations.control(F.col("sql")).alias("action"))
+    s = F.col("sql")
+    return roles.statements(spark, sf).select("n", mutations.control(s).alias("action"), mutations.savepoint(s).alias("savepoint"))
 
 
-@query(f"SELECT n, regexp_matches(sql, {_quoted(mutations.IMPLICIT)}) AS commits, regexp_matches(sql, {_quoted(mutations.IMPLICIT)}) OR regexp_matches(sql, {_quoted(mutations.BOUNDARY)}) AS unsupported FROM {roles.statements_sql()}")
+@query(roles.expected_sql("n, commits, unsupported"))
 def m3_unsupported(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("sql")
-    return roles.statements(spark).select("n", mutations.implicit_commit(s).alias("commits"), mutations.unsupported_boundary(s).alias("unsupported"))
+    return roles.statements(spark, sf).select("n", mutations.implicit_commit(s).alias("commits"), mutations.unsupported_boundary(s).alias("unsupported"))
+
 
+@query(roles.expected_sql("n % 150 AS session, n AS seq, 'diagnostic' AS state, CASE WHEN commits THEN 'implicit_commit' ELSE 'opaque_boundary' END AS reason") + " WHERE unsupported")
+def e9_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    log = roles.statements(spark, sf).select((F.col("n") % 150).alias("session"), F.col("n").alias("seq"), "sql")
+    return mutations.diagnostics(log).drop("statement")
 
-@query("SELECT n FROM (VALUES (0), (2), (3), (4), (7), (9), (10), (11)) v(n)")
+
+@query(roles.expected_sql("n") + " WHERE kept")
 def m4_runtime_kept(spark: SparkSession, sf: str) -> DataFrame:
-    return roles.statements(spark).where(mutations.runtime_kept(F.col("sql"), ("wp_options",))).select("n")
+    return roles.statements(spark, sf).where(mutations.runtime_kept(F.col("sql"), ("wp_options",))).select("n")
 
 
-@query("SELECT n, scope FROM (VALUES (0, '{\"id\": [\"7\"], \"post_title\": [\"x\"]}'), (1, '{\"option_name\": [\"a\"]}'), (2, '{}'), (3, '{\"id\": [\"5\"]}'), (4, '{\"post_id\": [\"1\", \"2\"]}')) v(n, scope)")
+@query(roles.expected_sql("n, scope"))
 def m5_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    return roles.statements(spark).where("n < 5").select("n", mutations.scope_json(F.col("sql")).alias("scope"))
+    return roles.statements(spark, sf).select("n", mutations.scope_json(F.col("sql")).alias("scope"))
+
+
+@query("SELECT event_id AS n, 'wp_' || (event_id % 7) || ',wp_b' AS tables FROM events")
+def j14_deleted_tables(spark: SparkSession, sf: str) -> DataFrame:
+    e = roles.events(spark, sf)
+    text = F.format_string("DELETE x, `y`\nFROM wp_%d AS x, wp_b y WHERE x.id = y.id AND x.v = %d", F.col("event_id") % 7, "event_id")
+    return e.select(F.col("event_id").alias("n"), F.array_join(mutations.deleted_tables_of(text), ",").alias("tables"))
 
 
 _CHANGES = "(SELECT CASE o_orderkey % 3 WHEN 0 THEN 'posts' WHEN 1 THEN 'postmeta' ELSE 'term_relationships' END AS suffix, CASE WHEN o_orderkey % 3 = 2 THEN 1000 + o_orderkey % 5 ELSE o_orderkey % 400 END AS row_id FROM orders)"
@@ -140,6 +147,30 @@ def e2_committed(spark: SparkSession, sf: str) -> DataFrame:
     return outbox.committed(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), action.alias("action"), F.lit(None).cast("string").alias("savepoint"), F.col("event_id").alias("event")))
 
 
+#: A session's steps for each event, by its id modulo 7: B begins, E adds an event of that number, S, T and L set, roll back to and release a savepoint, C commits,
+#: CC commits and goes on, R rolls back, A0 and A1 switch autocommit; and the numbers that stay, worked out by hand.
+_SCRIPTS = [
+    ("B E1 Sa E2 Sb E3 Ta E4 C", (1, 4)),
+    ("B E1 Sa E2 Sb E3 Tb E4 C", (1, 2, 4)),
+    ("B E1 Sa E2 La E3 Ta E4 C", (1, 2, 3, 4)),
+    ("B E1 Sa E2 Sb E3 Ta Tb E4 R", ()),
+    ("E1 B E2 Sa E3 Ta E4 CC E5 R", (1, 2, 4)),
+    ("A0 E1 Sa E2 Sa E3 Ta E4 A1", (1, 2, 4)),
+    ("B E1 B E2 R", (1,)),
+]
+_STEPS = {"B": "begin", "C": "commit", "CC": "commit_chain", "R": "rollback", "A0": "autocommit_0", "A1": "autocommit_1", "E": "event", "S": "savepoint", "T": "rollback_to", "L": "release_savepoint"}
+
+
+@query("SELECT user_id AS session, event_id * 10 + i AS event FROM events JOIN (VALUES " + ", ".join(f"({k}, {i})" for k, (_, kept) in enumerate(_SCRIPTS) for i in kept) + f") v(k, i) ON event_id % {len(_SCRIPTS)} = k")
+def w6_savepoints(spark: SparkSession, sf: str) -> DataFrame:
+    step = lambda t: (_STEPS.get(t) or _STEPS[t[0]], t[1:] if t[0] in "STL" else None, int(t[1:]) if t[0] == "E" else None)
+    script = lambda text: F.array(*[F.struct(F.lit(a).alias("action"), F.lit(p).cast("string").alias("savepoint"), F.lit(n).cast("long").alias("n")) for a, p, n in map(step, text.split())])
+    scripts = F.array(*[script(text) for text, _ in _SCRIPTS])
+    e = roles.events(spark, sf).select("user_id", "event_id", F.posexplode(F.element_at(scripts, (F.col("event_id") % len(_SCRIPTS) + 1).cast("int"))).alias("at", "s"))
+    log = e.select(F.col("user_id").alias("session"), (F.col("event_id") * 20 + F.col("at")).alias("seq"), "s.action", "s.savepoint", (F.col("event_id") * 10 + F.col("s.n")).alias("event"))
+    return outbox.committed(log)
+
+
 @query("SELECT DISTINCT 'e' || (event_id // 2) AS event_id, 'a,b' AS tables FROM events")
 def e3_normalized(spark: SparkSession, sf: str) -> DataFrame:
     e = roles.events(spark, sf).select(F.concat(F.lit("e"), F.floor(F.col("event_id") / 2)).alias("event_id"), F.array(F.lit("b"), F.lit("a"), F.lit("b")).alias("tables"))

@@ -139,11 +139,6 @@ def a4_repeated_terms(spark: SparkSession, sf: str) -> DataFrame:
     return content.grouped_terms(t.unionByName(t), distinct=False).select("object_id", "taxonomy", F.array_join("slugs", ",").alias("slugs"))
 
 
-@query("SELECT count(*) AS rows_seen, count_if(n_chars > 500)::BIGINT AS updated, count_if(n_chars <= 500)::BIGINT AS skipped, count_if(text IS NULL)::BIGINT AS failed FROM documents")
-def a6_import_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return roles.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(F.col("n_chars") > 500).alias("updated"), F.count_if(F.col("n_chars") <= 500).alias("skipped"), F.count_if(F.col("text").isNull()).alias("failed"))
-
-
 @query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 10")
 def a6_report_sample(spark: SparkSession, sf: str) -> DataFrame:
     return roles.table(spark, sf, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(10)
@@ -234,29 +229,11 @@ def u6_key_changes(spark: SparkSession, sf: str) -> DataFrame:
     return merge.key_changes(*_versions(spark, sf), ["p_partkey"], "v")
 
 
-@query(f"""SELECT "ID", post_type FROM {POSTS} WHERE post_type = 'en' AND "ID" IN (SELECT post_id FROM {META} WHERE meta_key = 'toxic' AND meta_value = '0')""")
-def k11_other_posts(spark: SparkSession, sf: str) -> DataFrame:
-    clean = roles.postmeta(spark, sf).where("meta_key = 'toxic' AND meta_value = '0'").select(F.col("post_id").alias("ID"))
-    return roles.posts(spark, sf).where("post_type = 'en'").join(clean, "ID", "left_semi").select("ID", "post_type")
-
-
 @query(f"""{_UP} SELECT p."ID", d.depth FROM {_TREE} p JOIN (SELECT i, max(d) AS depth FROM up WHERE i IN (SELECT i FROM up WHERE a = 1) GROUP BY 1) d ON d.i = p."ID" WHERE p."ID" >= 20 ORDER BY depth, 1 LIMIT 50""")
 def k18_recovered(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.recoverable(roles.posts(spark, sf).select("ID", "post_parent"), root=1, least=20, limit=50)
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
-def k19_seeds_absent(spark: SparkSession, sf: str) -> DataFrame:
-    known = roles.table(spark, sf, "customer").where("c_custkey % 2 = 0")
-    return merge.without_owned(roles.table(spark, sf, "supplier"), "s_suppkey", known, "c_custkey").select("s_suppkey", "s_name")
-
-
-@query("SELECT CASE WHEN contains(url, 'https') THEN 'portable' ELSE 'migrated' END AS status, count(*) AS n FROM pages GROUP BY 1")
-def k20_migration_counts(spark: SparkSession, sf: str) -> DataFrame:
-    status = F.when(F.contains("url", F.lit("https")), "portable").otherwise("migrated")
-    return roles.table(spark, sf, "pages").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""SELECT "ID", sha256(concat_ws(chr(31), "ID"::VARCHAR, post_type, post_name, coalesce(post_parent::VARCHAR, chr(0)))) AS digest FROM {POSTS}""")
 def r1_identities(spark: SparkSession, sf: str) -> DataFrame:
     return roles.posts(spark, sf).select("ID", fx.identity(F.col("ID"), F.col("post_type"), F.col("post_name"), F.col("post_parent")).alias("digest"))

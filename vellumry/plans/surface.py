@@ -17,12 +17,6 @@ STATEMENTS: dict[str, tuple[str, str, str | None]] = {
     "j15_anti_join": ("customer orders", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "j15_cross_join": ("region nation", "SELECT r_name, n_name FROM region CROSS JOIN nation", None),
     "j15_theta_join": ("supplier nation", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey < n_nationkey AND s_acctbal > 0", None),
-    "j15_range_join": ("events", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS WHERE a.event_type = 'signup'", None),
-    "j15_asof_join": (
-        "events",
-        "SELECT a.event_id, max_by(b.event_id, struct(b.ts, b.event_id)) AS before FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'signup' AND (b.ts < a.ts) WHERE a.event_type = 'purchase' GROUP BY a.event_id",
-        "SELECT a.event_id, arg_max(b.event_id, (b.ts, b.event_id)) AS before FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'signup' AND b.ts < a.ts WHERE a.event_type = 'purchase' GROUP BY a.event_id",
-    ),
     "a10_having": ("lineitem", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 3", None),
     "a10_distinct": ("lineitem", "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem", None),
     "a10_rollup": ("lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_linestatus) AS BIGINT) AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", None),
