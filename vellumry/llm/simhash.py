@@ -1,20 +1,23 @@
 """Near-duplicate removal by SimHash and multi-index hashing.
 
-A text's fingerprint has 128 bits: the signs of the sum, over its distinct words, of log(1 + count) times a random vector of +-1 per word.
+A text's fingerprint has 128 bits: the signs of the sum, over its distinct words, of log(1 + count) times a random vector of +-1 per word. Where the sum is 0,
+as it often is for few words, the least of the text's hashed word pairs decides. The same holds for texts of any length.
 Two texts are near copies when their fingerprints differ in at most RADIUS bits; groups are the connected components of that relation.
 
 Search. The bits are cut into SEGMENTS parts. Of two fingerprints within RADIUS = 6 * 2 + 5 bits one part at least differs in 2 bits or fewer, so
-the balls of radius 1 around both parts share a key. Each distinct fingerprint enters, for each part, the keys of its ball; entries that meet
-under a key are compared over all 128 bits. Nothing is lost: recall against brute force over the fingerprints is 1.
+the balls of radius 1 around both parts share a key. A part of the table holds, for one segment, all keys that begin with the same bits. Each distinct fingerprint
+is sent once to the part of its own bits, which enumerates the keys of its ball there, and once for each of the beginning's bits, whose flip leads to another
+part. Entries that meet under a key are compared over all 128 bits. Nothing is lost: recall against brute force over the fingerprints is 1.
 
-Exact copies collapse first, so a passage copied a million times is one fingerprint. Under a key of many near copies a search from one
-entry to those not yet reached yields a spanning forest instead of all pairs, with the same components; no entry or partner is ever dropped.
+Exact copies collapse first, so a passage copied a million times is one fingerprint. Under a key of many near copies a search from one entry to those not
+yet reached yields a spanning forest instead of all pairs, with the same components. Of a key's many entries that aren't near each other, those that share a
+key of a second segment's balls alone are compared. No entry or partner is ever dropped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,11 @@ from vellumry.llm.common import fresh, materialize, prepare
 from vellumry.llm.components import components
 
 BITS, SEGMENTS, RADIUS = 128, 6, 17
-#: Texts of fewer words have too few features; they match only texts of the same words in the same order.
-LEAST_WORDS = 8
-#: Entries of balls that one task holds at a time.
-ENTRIES_A_PART = 1_000_000
-U = np.uint64
+#: Entries of balls that one task holds at a time, and the bits at a segment's beginning that part the table at least.
+ENTRIES_A_PART, LEAST_PREFIX = 4_000_000, 5
+#: Entries under a key from which on a second segment parts them.
+MANY = 65_536
+U, MAX = np.uint64, (1 << 64) - 1
 _CUTS = [round(i * BITS / SEGMENTS) for i in range(SEGMENTS + 1)]
 
 
@@ -43,6 +46,9 @@ def fingerprints(texts: list) -> tuple[np.ndarray, np.ndarray]:
             continue
         n = np.bincount(doc, minlength=j - i)
         count[i:j] = n
+        # The least of each text's hashed word pairs; a text of one word has its word.
+        pair = np.where(np.r_[doc[1:] == doc[:-1], False], tn.mix(h * U(0x9E3779B97F4A7C15) + np.r_[h[1:], U(0)]), U(MAX))
+        least = np.minimum.reduceat(pair, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
         # Distinct words of each text with their counts.
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
@@ -51,22 +57,14 @@ def fingerprints(texts: list) -> tuple[np.ndarray, np.ndarray]:
         hd, dd = h[first], doc[first]
         begin = np.flatnonzero(np.r_[True, dd[1:] != dd[:-1]])
         for k in range(2):
-            signs = np.unpackbits(tn.mix(hd + U((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
-            total = np.zeros((len(begin), 64), np.float32)
+            salt = U((k + 1) * 0x9E3779B97F4A7C15 & MAX)
+            bits = lambda x: np.unpackbits(tn.mix(x + salt).view(np.uint8).reshape(-1, 8), axis=1)  # noqa: E731, B023
+            signs = bits(hd)
+            total = (bits(least).astype(np.float32) * 2 - 1) * np.float32(0.01)
             for s in range(0, len(begin), 256):  # bounded memory
                 a, b = begin[s], begin[s + 256] if s + 256 < len(begin) else len(hd)
-                total[s : s + 256] = np.add.reduceat((signs[a:b].astype(np.float32) * 2 - 1) * weight[a:b, None], begin[s : s + 256] - a, axis=0)
+                total[s : s + 256] += np.add.reduceat((signs[a:b].astype(np.float32) * 2 - 1) * weight[a:b, None], begin[s : s + 256] - a, axis=0)
             out[i + dd[begin], k] = np.packbits(total > 0, axis=1).view(U).ravel()
-        # Few words: a hash of their sequence.
-        small = np.flatnonzero((n > 0) & (n < LEAST_WORDS))
-        if len(small):
-            h, doc, *_ = tn.words([texts[i + s] for s in small])
-            at = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(small)))]
-            for s, a, b in zip(small, at[:-1], at[1:]):
-                x = np.array([b - a], U)
-                for w in h[a:b]:
-                    x = tn.mix(x * U(31) + w)
-                out[i + s] = x[0], tn.mix(x + U(1))[0]
     return out, count
 
 
@@ -86,74 +84,140 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(_fingerprint_batches, "doc_id long, f0 long, f1 long, n_words long, hash long")
 
 
-@lru_cache(maxsize=1)
-def _balls() -> tuple[np.ndarray, np.ndarray]:
-    """Flips of the balls of radius 1 of all segments, (m, 2) words, and the segment of each."""
-    flips, of = [], []
-    for s, (a, b) in enumerate(zip(_CUTS[:-1], _CUTS[1:])):
-        m = np.zeros((1 + b - a, 2), U)
-        for r, bit in enumerate(range(a, b), 1):
-            m[r, bit // 64] = U(1) << U(bit % 64)
-        flips.append(m)
-        of.append(np.full(len(m), s, np.uint8))
-    return np.concatenate(flips), np.concatenate(of)
-
-
-def _keys(fp: np.ndarray, ball: np.ndarray) -> np.ndarray:
-    """The key that entry ball of all balls gives each fingerprint: the segment's bits, flipped, with its number above them."""
-    flips, of = _balls()
+def _segment(fp: np.ndarray, s: int) -> np.ndarray:
+    """The bits of segment s of each fingerprint, as one number."""
+    a, b = _CUTS[s], _CUTS[s + 1]
     key = np.zeros(len(fp), U)
-    for s, (a, b) in enumerate(zip(_CUTS[:-1], _CUTS[1:])):
-        mine = np.flatnonzero(of[ball] == s)
-        x = fp[mine] ^ flips[ball[mine]]
-        k = np.full(len(mine), s << 60, U)
-        for word in (0, 1):
-            lo, hi = max(a, word * 64), min(b, word * 64 + 64)
-            if lo < hi:
-                k |= ((x[:, word] >> U(lo - word * 64)) & U((1 << (hi - lo)) - 1)) << U(lo - a)
-        key[mine] = k
+    for word in (0, 1):
+        lo, hi = max(a, word * 64), min(b, word * 64 + 64)
+        if lo < hi:
+            key |= ((fp[:, word] >> U(lo - word * 64)) & U((1 << (hi - lo)) - 1)) << U(lo - a)
     return key
 
 
-def _blobs(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part of the key space one binary of the entries there: 17 bytes each, a fingerprint and which entry of its balls."""
-    m = len(_balls()[0])
+def prefix_bits(n: int) -> int:
+    """How many bits at a segment's beginning part the table for n distinct fingerprints."""
+    width = min(b - a for a, b in zip(_CUTS[:-1], _CUTS[1:]))
+    return min(width, max(LEAST_PREFIX, math.ceil(math.log2(max(1, n) * (1 + width) / ENTRIES_A_PART))))
+
+
+def _blobs(prefix: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per part of the table one binary of what is sent there: fingerprints of 16 bytes, then for each a byte that tells how it comes there: 0 by its own
+    bits, else 1 + the number of the bit that is flipped."""
     for b in batches:
         for a in range(0, b.num_rows, 8192):
-            s = b.slice(a, 8192)
-            fp = np.stack([s.column(0).to_numpy().view(U), s.column(1).to_numpy().view(U)], axis=1)
-            own, ball = np.repeat(np.arange(len(fp), dtype=np.int32), m), np.tile(np.arange(m, dtype=np.uint8), len(fp))
-            part = (tn.mix(_keys(fp[own], ball)) % U(parts)).astype(np.int32)
+            x = b.slice(a, 8192)
+            fp = np.stack([x.column(0).to_numpy().view(U), x.column(1).to_numpy().view(U)], axis=1)
+            parts, owns, ways = [], [], []
+            for s in range(SEGMENTS):
+                width = _CUTS[s + 1] - _CUTS[s]
+                head = (_segment(fp, s) >> U(width - prefix)).astype(np.int64)
+                for way in range(prefix + 1):
+                    parts.append((s << prefix) + (head ^ (1 << (way - 1)) if way else head))
+                    owns.append(np.arange(len(fp)))
+                    ways.append(np.full(len(fp), width - prefix + way if way else 0, np.uint8))
+            part, own, way = np.concatenate(parts), np.concatenate(owns), np.concatenate(ways)
             order = np.argsort(part, kind="stable")
-            part, own, ball = part[order], own[order], ball[order]
+            part, own, way = part[order], own[order], way[order]
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            blobs = [fp[own[x:y]].tobytes() + ball[x:y].tobytes() for x, y in zip(at, np.r_[at[1:], len(part)])]
-            yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+            blobs = [fp[own[y:z]].tobytes() + way[y:z].tobytes() for y, z in zip(at, np.r_[at[1:], len(part)])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def _entries(fp: np.ndarray, way: np.ndarray, s: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of segment s that these fingerprints have in this part, the fingerprint of each, and 0 for its own bits or 1 + the number of the flipped bit."""
+    key, own = _segment(fp, s), np.flatnonzero(way == 0)
+    come = np.flatnonzero(way > 0)
+    keys, owns, flips = [key[own], key[come] ^ (U(1) << (way[come].astype(U) - U(1)))], [own, come], [np.zeros(len(own), np.uint8), way[come]]
+    for bit in range(_CUTS[s + 1] - _CUTS[s] - prefix):
+        keys.append(key[own] ^ U(1 << bit))
+        owns.append(own)
+        flips.append(np.full(len(own), bit + 1, np.uint8))
+    return np.concatenate(keys), np.concatenate(owns), np.concatenate(flips)
 
 
 def _far(fp: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, 0] ^ one[..., 0]) + np.bitwise_count(fp[:, 1] ^ one[..., 1])
 
 
-def _forest(fp: np.ndarray, members: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the members' near-copy graph, by a search that compares only with members not yet reached."""
-    left = members
+def _forest(fp: np.ndarray, members: np.ndarray, tries: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (n, 2) of a spanning forest of the members' near-copy graph, by a search that compares only with members not yet reached; and, where `tries` searches
+    that find nothing end it, the members whose partners aren't all known."""
+    left, queue, edges = members, [], []
     while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = _far(fp[left], fp[x]) <= RADIUS
-            if near.any():
-                found, left = left[near], left[~near]
-                yield from ((int(x), int(y)) for y in found)
-                queue.extend(found)
-
-
-def _match(fp: np.ndarray, ball: np.ndarray) -> np.ndarray:
-    """(m, 4) words of two fingerprints each, near copies that meet under a key of these entries."""
-    keys = _keys(fp, ball)
+        if not queue:
+            queue, left = [left[0]], left[1:]
+        x = queue.pop()
+        near = _far(fp[left], fp[x]) <= RADIUS
+        if near.any():
+            found, left = left[near], left[~near]
+            edges.append(np.stack([np.full(len(found), x), found], axis=1))
+            queue.extend(found)
+        elif tries is not None:
+            tries -= 1
+            if not tries:
+                left = np.r_[left, np.array(queue, left.dtype)]
+                break
+    return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64), left
+
+
+def _hooked(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the components of x and y in label, which leads each member to the least of its component."""
+    while len(x):
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label[:] = up
+
+
+def _by_second_segment(fp: np.ndarray, s: int) -> np.ndarray:
+    """Edges (n, 2) of a spanning forest of the near copies among fingerprints that share a key of segment s.
+
+    Of their other segments one differs in RADIUS // (SEGMENTS - 1) = 3 bits or fewer, so a ball of radius 1 around one side meets one of radius 2 around
+    the other.
+    """
+    label = np.arange(len(fp))
+    for t in range(SEGMENTS):
+        if t == s:
+            continue
+        key, width = _segment(fp, t).astype(np.int64), _CUTS[t + 1] - _CUTS[t]
+        flips = [0] + [1 << i for i in range(width)]
+        near = np.concatenate([key ^ f for f in flips])
+        # A table from each value of the segment to its entries.
+        starts = np.zeros((1 << width) + 1, np.int64)
+        np.cumsum(np.bincount(near, minlength=1 << width), out=starts[1:])
+        own = np.tile(np.arange(len(fp)), len(flips))[np.argsort(near, kind="stable")]
+        for f in flips + [1 << i | 1 << j for i in range(width) for j in range(i)]:
+            want = key ^ f
+            lo = starts[want]
+            n = starts[want + 1] - lo
+            upto = np.cumsum(n)
+            for a in range(0, int(upto[-1]), 1 << 20):  # bounded memory
+                k = np.arange(a, min(a + (1 << 20), int(upto[-1])))
+                x = np.searchsorted(upto, k, "right")
+                y = own[lo[x] + k - (upto[x] - n[x])]
+                some = x < y
+                x, y = x[some], y[some]
+                close = _far(fp[x], fp[y]) <= RADIUS
+                _hooked(label, x[close], y[close])
+    some = np.flatnonzero(label != np.arange(len(fp)))
+    return np.stack([label[some], some], axis=1)
+
+
+def _match(fp: np.ndarray, keys: np.ndarray, own: np.ndarray, flip: np.ndarray, s: int) -> np.ndarray:
+    """(m, 4) words of two fingerprints each: near copies that meet under a key of segment s, or stand for such in the same component.
+
+    Two that come to a key by the same flip have the same own bits, so they meet under these without flips, too, and here they needn't be compared.
+    """
     order = np.argsort(keys, kind="stable")
-    keys, fp = keys[order], fp[order]
+    keys, own, flip = keys[order], own[order], flip[order]
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.r_[at, len(keys)])
     left = np.repeat(at + size, size) - np.arange(len(keys))  # entries from here to the end of the run
@@ -163,12 +227,25 @@ def _match(fp: np.ndarray, ball: np.ndarray) -> np.ndarray:
         a = np.flatnonzero(left > gap)
         if not len(a):
             break
-        for s in range(0, len(a), 1 << 18):
-            x = a[s : s + (1 << 18)]
-            near = x[_far(fp[x], fp[x + gap]) <= RADIUS]
-            edges.append(np.stack([near, near + gap], axis=1))
+        for k in range(0, len(a), 1 << 18):
+            x, y = a[k : k + (1 << 18)], a[k : k + (1 << 18)] + gap
+            some = (flip[x] != flip[y]) | (flip[x] == 0)
+            x, y = own[x[some]], own[y[some]]
+            near = _far(fp[x], fp[y]) <= RADIUS
+            edges.append(np.stack([x[near], y[near]], axis=1))
     for a, n in zip(at[size > 32], size[size > 32]):
-        edges.append(np.array(list(_forest(fp, np.arange(a, a + n))), np.int64).reshape(-1, 2))
+        members, by = own[a : a + n], flip[a : a + n]
+        most = int(np.bincount(by)[1:].argmax()) + 1 if by.any() else 0
+        crowd = members[by == most]
+        if most and 2 * len(crowd) > n:  # most come by one flip: compare only the others with them
+            members = members[by != most]
+            for x in members:
+                near = crowd[_far(fp[crowd], fp[x]) <= RADIUS]
+                edges.append(np.stack([np.full(len(near), x), near], axis=1))
+        found, rest = _forest(fp, members, 64 if len(members) > MANY else None)
+        edges.append(found)
+        if len(rest):
+            edges.append(rest[_by_second_segment(fp[rest], s)])
     if not edges:
         return np.zeros((0, 4), U)
     e = np.concatenate(edges)
@@ -177,24 +254,25 @@ def _match(fp: np.ndarray, ball: np.ndarray) -> np.ndarray:
     return np.unique(np.where(swap[:, None], np.concatenate([y, x], axis=1), np.concatenate([x, y], axis=1)), axis=0)
 
 
-def _match_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_parts(prefix: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Input sorted by part: match each part's entries as soon as they are complete."""
-    fps, balls, at = [], [], None
+    fps, ways, at = [], [], None
 
     def out() -> pa.RecordBatch:
-        e = _match(np.concatenate(fps), np.concatenate(balls))
+        fp, s = np.concatenate(fps), at >> prefix
+        e = _match(fp, *_entries(fp, np.concatenate(ways), s, prefix), s)
         return pa.RecordBatch.from_arrays([pa.array(e[:, k].copy().view(np.int64)) for k in range(4)], names=["a0", "a1", "b0", "b1"])
 
     for b in batches:
         for part, blob in zip(b.column(0).to_pylist(), b.column(1)):
             if part != at and fps:
                 yield out()
-                fps, balls = [], []
+                fps, ways = [], []
             at = part
             raw = np.frombuffer(blob.as_buffer(), np.uint8)
             n = len(raw) // 17
             fps.append(raw[: n * 16].view(U).reshape(-1, 2).copy())
-            balls.append(raw[n * 16 :].copy())
+            ways.append(raw[n * 16 :].copy())
     if fps:
         yield out()
 
@@ -204,11 +282,10 @@ def near_pairs(distinct: DataFrame, n: int) -> DataFrame:
 
     n: the number of distinct fingerprints; parts grow with it, so that a task's share doesn't.
     """
-    spark = distinct.sparkSession
-    parts = max(1, -(-n * len(_balls()[0]) // ENTRIES_A_PART))
-    blobs = distinct.select("f0", "f1").mapInArrow(lambda it: _blobs(parts, it), "part int, blob binary")
-    placed = blobs.repartition(max(parts, spark.sparkContext.defaultParallelism), "part").sortWithinPartitions("part")
-    return placed.mapInArrow(_match_parts, "a0 long, a1 long, b0 long, b1 long")
+    prefix = prefix_bits(n)
+    blobs = distinct.select("f0", "f1").mapInArrow(lambda it: _blobs(prefix, it), "part int, blob binary")
+    placed = blobs.repartitionById(SEGMENTS << prefix, F.col("part")).sortWithinPartitions("part")
+    return placed.mapInArrow(lambda it: _match_parts(prefix, it), "a0 long, a1 long, b0 long, b1 long")
 
 
 def _text_groups(fps: DataFrame) -> DataFrame:
@@ -216,10 +293,9 @@ def _text_groups(fps: DataFrame) -> DataFrame:
 
     A group's node is more than a doc_id, which may have texts of several groups.
     """
-    distinct = materialize(fps.where("n_words > 0 AND doc_id IS NOT NULL").groupBy("f0", "f1").agg(F.min("doc_id").alias("first"), F.max("n_words").alias("n_words")), "distinct")
+    distinct = materialize(fps.where("n_words > 0 AND doc_id IS NOT NULL").groupBy("f0", "f1").agg(F.min("doc_id").alias("first")), "distinct")
     n = distinct.count()
-    # Texts of few words match only exactly; they take no part in the search.
-    pairs = materialize(near_pairs(distinct.where(F.col("n_words") >= LEAST_WORDS), n), "pairs")
+    pairs = materialize(near_pairs(distinct, n), "pairs")
     names = distinct.select("f0", "f1", F.struct("first", "f0", "f1").alias("node"))
     edges = (
         pairs.distinct()
