@@ -8,15 +8,17 @@ go through tanh to three softmaxes that all read this hidden layer. The first ha
 the second, with vectors of its own for each class, has the class's leaves; the third, for words that aren't known, has the bucket's parts, from the log of their
 shares on. A word's log-probability is the sum along its path, so the context counts for every word; a document's score is the sum over all its places.
 
-Training. A hash deals the places of all documents out to ROUNDS rounds, so every place is masked in exactly one of them. In each round every task trains by
-Adagrad in numpy on its places from the shared weights, and the tasks' weights are averaged by their numbers of places. So every word of every document is learnt
-from once, and the driver receives one network per round, whatever the number of tasks.
+Training. Documents are dealt out to shards by a hash of id and text and sorted by it; how many shards depends on the number of words alone. A hash of word and
+place in its document deals the places out to ROUNDS rounds, so every place is masked in exactly one of them. In each round a task trains on each shard's places,
+by Adagrad in numpy, from the shared weights, and the shards' weights are averaged by their numbers of places, in order of the shards. So every word of every
+document is learnt from once, the driver receives one network per round whatever the number of tasks, and the scores don't depend on how the input is cut.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,15 @@ FREQUENT, MEMBERS, HASHED, FINE, SIDE, HIDDEN = 127, 128, 32, 64, 2, 24
 CLASSES = 64 + HASHED
 KNOWN, BUCKETS = FREQUENT + (CLASSES - HASHED) * MEMBERS, HASHED * MEMBERS
 ROUNDS, BATCH, STEP = 2, 8192, 0.1
+#: Words that a shard has about, until there are MOST_SHARDS; of more words each has more.
+SHARD_WORDS, MOST_SHARDS = 8_000_000, 8192
 #: Places whose first level is held at a time, so that it stays in a core's cache.
 SLICE = 512
 #: Context symbols: all leaves, and the edge of the document.
 CONTEXTS = KNOWN + BUCKETS + 1
 _EDGE = CONTEXTS - 1
-_SALTS = 64
+#: Logits of greater size are shifted before they are exponentiated.
+_RANGE = 80
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,8 +66,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def vocabulary(docs: DataFrame) -> dict:
-    """Hashes of the known words, the most frequent first, and log shares of the first level, of the leaves in their class and of the parts in their bucket."""
+def vocabulary(docs: DataFrame) -> tuple[dict, int]:
+    """Hashes of the known words, the most frequent first, log shares of the first level, of the leaves in their class and of the parts in their bucket; and the
+    number of all words."""
     counts = materialize(docs.select("text").mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()
     known = np.array([r.h for r in top], np.int64).view(np.uint64)
@@ -70,6 +76,7 @@ def vocabulary(docs: DataFrame) -> dict:
     total = np.zeros(BUCKETS * FINE)
     parts = counts.groupBy(F.expr(f"h & {BUCKETS * FINE - 1}").cast("int").alias("b")).agg(F.sum("n").alias("n")).toArrow()
     total[parts["b"].to_numpy()] = parts["n"].to_numpy()
+    words = int(total.sum())
     np.subtract.at(total, (known & np.uint64(BUCKETS * FINE - 1)).astype(np.int64), often)
     parts = total.reshape(BUCKETS, FINE)
     leaf = np.zeros(KNOWN + BUCKETS)
@@ -78,7 +85,7 @@ def vocabulary(docs: DataFrame) -> dict:
     inner = np.zeros((CLASSES, MEMBERS))
     inner[first[FREQUENT:] - FREQUENT, member[FREQUENT:]] = leaf[FREQUENT:]
     share = lambda n: np.log((n + 0.5) / (n + 0.5).sum(axis=-1, keepdims=True)).astype(np.float32)
-    return {"frequent": known, "classes": share(np.bincount(first, leaf, FREQUENT + CLASSES)), "members": share(inner), "parts": share(parts)}
+    return {"frequent": known, "classes": share(np.bincount(first, leaf, FREQUENT + CLASSES)), "members": share(inner), "parts": share(parts)}, words
 
 
 def place_of(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +96,14 @@ def place_of(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.where(b < 0, k // deal, b % MEMBERS)
 
 
+_FIRST, _MEMBER = (x.astype(np.int16) for x in place_of(np.arange(KNOWN + BUCKETS)))
+_SHIFT = FINE.bit_length() - 1
+
+
 def leaves(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each symbol its leaf, and the part of its bucket (of no meaning for known words)."""
     b = sym - KNOWN
-    return np.where(b < 0, sym, KNOWN + b // FINE), b % FINE
+    return np.where(b < 0, sym, KNOWN + (b >> _SHIFT)), b & (FINE - 1)
 
 
 def encode(texts: list, frequent: np.ndarray) -> list[bytes]:
@@ -113,25 +124,30 @@ def encode(texts: list, frequent: np.ndarray) -> list[bytes]:
 
 
 def _encoded(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, words, hash, and whether the row is the first of its batch with its id and hash: of a row that repeats without end few go on to training."""
     frequent = pickle.loads(shared.value)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(b.column(1).to_pylist(), frequent), pa.binary())], names=["doc_id", "words"])
+        seen: set = set()
+        first = [not ((k := pair) in seen or seen.add(k)) for pair in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(b.column(1).to_pylist(), frequent), pa.binary()), b.column(2), pa.array(first, pa.bool_())], names=["doc_id", "words", "h", "first"])
 
 
 def start(vocab: dict, seed: int = 1) -> dict[str, np.ndarray]:
+    """The first network. The last rows of `layer` and `second` are the biases."""
     rng = np.random.default_rng(seed)
+    tables = rng.normal(0, 0.3, (2 * SIDE, CONTEXTS, HIDDEN)).astype(np.float32)
+    layer = rng.normal(0, 0.1, (HIDDEN, FREQUENT + CLASSES)).astype(np.float32)
+    second = rng.normal(0, 0.1, (CLASSES, HIDDEN, MEMBERS)).astype(np.float32)
     return {
-        "tables": rng.normal(0, 0.3, (2 * SIDE, CONTEXTS, HIDDEN)).astype(np.float32),
+        "tables": tables,
         "inner": np.zeros(HIDDEN, np.float32),
-        "layer": rng.normal(0, 0.1, (HIDDEN, FREQUENT + CLASSES)).astype(np.float32),
-        "outer": vocab["classes"].astype(np.float32),
-        "second": rng.normal(0, 0.1, (CLASSES, HIDDEN, MEMBERS)).astype(np.float32),
-        "members": vocab["members"].astype(np.float32),
+        "layer": np.concatenate([layer, vocab["classes"][None].astype(np.float32)]),
+        "second": np.concatenate([second, vocab["members"][:, None].astype(np.float32)], axis=1),
         "third": np.zeros((HIDDEN, FINE), np.float32),
     }
 
 
-_NAMES = ("tables", "inner", "layer", "outer", "second", "members", "third")
+_NAMES = ("tables", "inner", "layer", "second", "third")
 
 
 def _flat(net: dict) -> np.ndarray:
@@ -146,89 +162,102 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def contexts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All documents' symbols, the (n, 2 * SIDE) contexts of their places, and the document of each place."""
+def contexts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All documents' symbols, the (n, 2 * SIDE) contexts of their places, the document of each place and its number there."""
     sizes = np.array([len(b) // 4 for b in blobs], np.int64)
     sym = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
-    doc = np.repeat(np.arange(len(blobs)), sizes)
-    place = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    size = np.repeat(sizes, sizes)
+    doc = np.repeat(np.arange(len(blobs), dtype=np.int32), sizes)
+    place = np.arange(len(sym), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
     seen = leaves(sym)[0].astype(np.uint16)
     ctx = np.full((len(sym), 2 * SIDE), _EDGE, np.uint16)
     for d in range(1, SIDE + 1):
-        before, behind = place >= d, place + d < size
-        ctx[before, SIDE - d] = seen[np.flatnonzero(before) - d]
-        ctx[behind, SIDE - 1 + d] = seen[np.flatnonzero(behind) + d]
-    return sym, ctx, doc
+        near = place[d:] >= d  # whether a place and the one d before it belong to one document
+        ctx[d:, SIDE - d] = np.where(near, seen[:-d], _EDGE)
+        ctx[:-d, SIDE - 1 + d] = np.where(near, seen[d:], _EDGE)
+    return sym, ctx, doc, place
 
 
-def _sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the logits and their sums, each row shifted where it would leave the range of floats; z is shifted with it."""
-    most = z.max(axis=1, keepdims=True)
-    if len(z) and max(most.max(), -most.min()) > 60:
-        z -= most
-    e = np.exp(z)
-    return e, e.sum(axis=1, keepdims=True)
+def _reach(weights: np.ndarray) -> np.ndarray:
+    """The greatest size that logits of hidden layers (from -1 to 1, and 1 for the bias) may have, of each matrix."""
+    return np.abs(weights).sum(axis=-2).max(axis=-1)
 
 
-def _hidden(net: dict, ctx: np.ndarray) -> np.ndarray:
-    h = np.repeat(net["inner"][None], len(ctx), axis=0)
-    for d in range(ctx.shape[1]):
-        h += net["tables"][d].take(ctx[:, d], axis=0)
-    return np.tanh(h, out=h)
+def _exp(z: np.ndarray, reach: float) -> np.ndarray:
+    """z becomes its exponentials, each row shifted if some might leave the range of floats. Returns the shifts, or zeros."""
+    shift = np.zeros(len(z), np.float32)
+    if reach > _RANGE:
+        shift = z.max(axis=1)
+        z -= shift[:, None]
+    np.exp(z, out=z)
+    return shift
 
 
-def _logits(net: dict, h: np.ndarray) -> np.ndarray:
-    """The first level's."""
-    z = h @ net["layer"]
-    z += net["outer"]
-    return z
+def _hidden(net: dict, ctx: np.ndarray) -> np.ndarray:
+    """The hidden layer of each place, and 1 behind it for the biases."""
+    h = net["tables"][0].take(ctx[:, 0], axis=0)
+    for d in range(1, ctx.shape[1]):
+        h += net["tables"][d].take(ctx[:, d], axis=0)
+    h += net["inner"]
+    out = np.ones((len(ctx), HIDDEN + 1), np.float32)
+    np.tanh(h, out=out[:, :HIDDEN])
+    return out
 
 
-def _forward(net: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and log-probabilities of the first level."""
-    h = _hidden(net, ctx)
-    z = _logits(net, h)
-    total = _sums(z)[1]
-    return h, z - np.log(total)
+_ONES = np.ones(FREQUENT + CLASSES, np.float32)
 
 
-class _Path:
-    """The lower levels' logits along the paths of words: `inner` are the places with a second level, by class, `hashed` those with a third."""
+class _Paths:
+    """Where the paths of words lead: the first level's outputs; `inner`, the places with a second level, by class; `hashed`, those with a third."""
 
-    def __init__(self, net: dict, vocab: dict, h: np.ndarray, sym: np.ndarray):
+    def __init__(self, sym: np.ndarray):
         leaf, part = leaves(sym)
-        self.first, member = place_of(leaf)
+        self.first, member = _FIRST.take(leaf), _MEMBER.take(leaf)
         inner = np.flatnonzero(leaf >= FREQUENT)
-        self.inner = inner[np.argsort(self.first[inner], kind="stable")]
+        cls = (self.first[inner] - FREQUENT).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")
+        self.inner, cls = inner[order], cls[order]
         self.member = member[self.inner]
-        cls = self.first[self.inner] - FREQUENT
-        at = np.searchsorted(cls, np.arange(CLASSES + 1))
-        self.runs = [(c, a, b) for c, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
-        self.h2 = h.take(self.inner, axis=0)
-        self.z2 = np.empty((len(cls), MEMBERS), np.float32)
-        for c, a, b in self.runs:
-            np.matmul(self.h2[a:b], net["second"][c], out=self.z2[a:b])
-            self.z2[a:b] += net["members"][c]
+        #: Slices of inner, and the runs of one class in each.
+        self.blocks = []
+        cuts = np.unique(np.r_[np.searchsorted(cls, np.arange(CLASSES + 1)), np.arange(0, len(cls), SLICE)])
+        runs = [(int(cls[a]), a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for x in range(0, len(cls), SLICE):
+            y = min(x + SLICE, len(cls))
+            self.blocks.append((x, y, [r for r in runs if x <= r[1] < y]))
         self.hashed = np.flatnonzero(leaf >= KNOWN)
-        self.part = part[self.hashed]
-        self.h3 = h[self.hashed]
-        self.z3 = self.h3 @ net["third"] + vocab["parts"][leaf[self.hashed] - KNOWN]
-
-    def total(self, net: dict, h: np.ndarray) -> np.ndarray:
-        """The log-probability of each word."""
-        p = np.concatenate([_chosen(_logits(net, h[x : x + SLICE]), self.first[x : x + SLICE]) for x in range(0, len(h), SLICE)])
-        p[self.inner] += _chosen(self.z2, self.member)
-        p[self.hashed] += _chosen(self.z3, self.part)
-        return p
-
-
-def _chosen(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    total = _sums(z)[1]
-    return z[np.arange(len(z)), target].astype(np.float64) - np.log(total[:, 0])
-
-
-def _groups(blobs: list, limit: int = 1 << 17) -> Iterator[list[bytes]]:
+        self.part, self.bucket = part[self.hashed], leaf[self.hashed] - KNOWN
+
+
+def word_scores(net: dict, vocab: dict, ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    """The log-probability of each word in its context."""
+    h, path = _hidden(net, ctx), _Paths(sym)
+    p = np.empty(len(sym))
+
+    def chosen(z: np.ndarray, target: np.ndarray, reach: float) -> np.ndarray:
+        own = z[np.arange(len(z)), target]
+        shift = _exp(z, reach)
+        return own - shift - np.log(z @ _ONES[: z.shape[1]])
+
+    reach = float(_reach(net["layer"]))
+    for x in range(0, len(h), SLICE):
+        p[x : x + SLICE] = chosen(h[x : x + SLICE] @ net["layer"], path.first[x : x + SLICE], reach)
+    reach, h2, p2 = float(_reach(net["second"]).max()), h.take(path.inner, axis=0), np.empty(len(path.inner))
+    for x, y, runs in path.blocks:
+        z = np.empty((y - x, MEMBERS), np.float32)
+        for c, a, b in runs:
+            np.matmul(h2[a:b], net["second"][c], out=z[a - x : b - x])
+        p2[x:y] = chosen(z, path.member[x:y], reach)
+    p[path.inner] += p2
+    reach = float(_reach(net["third"])) - float(vocab["parts"].min())
+    for x in range(0, len(path.hashed), SLICE):
+        own = path.hashed[x : x + SLICE]
+        z = h[own, :HIDDEN] @ net["third"]
+        z += vocab["parts"][path.bucket[x : x + SLICE]]
+        p[own] += chosen(z, path.part[x : x + SLICE], reach)
+    return p
+
+
+def _groups(blobs: Iterable, limit: int = 1 << 17) -> Iterator[list[bytes]]:
     """Runs of documents of about so many words; a document is never cut."""
     own, size = [], 0
     for b in blobs:
@@ -241,12 +270,18 @@ def _groups(blobs: list, limit: int = 1 << 17) -> Iterator[list[bytes]]:
         yield own
 
 
-def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-    """The gradient of n places' mean loss by the logits."""
-    g, total = _sums(z)
-    g *= np.float32(1 / n) / total
-    g[np.arange(len(target)), target] -= np.float32(1 / n)
-    return g
+def _error(z: np.ndarray, target: np.ndarray, reach: float) -> np.ndarray:
+    """z, logits, become the gradient of each place's loss by them."""
+    _exp(z, reach)
+    z *= (1 / (z @ _ONES[: z.shape[1]]))[:, None]
+    z[np.arange(len(target)), target] -= 1
+    return z
+
+
+def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """table[rows] = values, each row moved as a whole."""
+    whole = np.dtype((np.void, table.shape[1] * table.itemsize))
+    table.view(whole).ravel()[rows] = values.view(whole).ravel()
 
 
 class Trainer:
@@ -257,92 +292,144 @@ class Trainer:
         self.vocab = vocab
         self.sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in net.items()}
         self.places = 0
+        self.rank = np.zeros(CONTEXTS, np.int64)
 
-    def _step(self, name: str, grad: np.ndarray) -> None:
+    def _step(self, name: str, grad: np.ndarray, n: int) -> None:
+        grad *= np.float32(1 / n)
         self.sums[name] += grad * grad
         grad *= np.float32(STEP)
         grad /= np.sqrt(self.sums[name])
         self.net[name] -= grad
 
-    def _step_rows(self, d: int, rows: np.ndarray, grad: np.ndarray) -> None:
+    def _step_rows(self, d: int, rows: np.ndarray, grad: np.ndarray, n: int) -> None:
+        grad *= np.float32(1 / n)
         table, sums = self.net["tables"][d], self.sums["tables"][d]
-        now = sums.take(rows, axis=0) + grad * grad
-        sums[rows] = now
-        table[rows] = table.take(rows, axis=0) - np.float32(STEP) * grad / np.sqrt(now)
+        now = sums.take(rows, axis=0)
+        now += grad * grad
+        _put(sums, rows, now)
+        grad *= np.float32(STEP)
+        grad /= np.sqrt(now, out=now)
+        _put(table, rows, table.take(rows, axis=0) - grad)
 
     def learn(self, ctx: np.ndarray, target: np.ndarray) -> None:
-        net = self.net
+        """One pass over these places, a step for each BATCH of them."""
         for a in range(0, len(ctx), BATCH):
-            c, t = ctx[a : a + BATCH], target[a : a + BATCH]
-            h = _hidden(net, c)
-            path = _Path(net, self.vocab, h, t)
-            g2, g3 = _error(path.z2, path.member, len(t)), _error(path.z3, path.part, len(t))
-            back, back2 = np.empty_like(h), np.empty_like(path.h2)
-            layer, outer = np.zeros_like(net["layer"]), np.zeros_like(net["outer"])
-            for x in range(0, len(t), SLICE):
-                own = h[x : x + SLICE]
-                g = _error(_logits(net, own), path.first[x : x + SLICE], len(t))
-                np.matmul(g, net["layer"].T, out=back[x : x + SLICE])
-                layer += own.T @ g
-                outer += g.sum(axis=0)
-            second, members = np.zeros_like(net["second"]), np.zeros_like(net["members"])
-            for k, x, y in path.runs:
-                np.matmul(g2[x:y], net["second"][k].T, out=back2[x:y])
-                np.matmul(path.h2[x:y].T, g2[x:y], out=second[k])
-                members[k] = g2[x:y].sum(axis=0)
-            back[path.inner] += back2
-            back[path.hashed] += g3 @ net["third"].T
-            back *= 1 - h * h
-            for name, grad in (("second", second), ("members", members), ("third", path.h3.T @ g3), ("layer", layer), ("outer", outer), ("inner", back.sum(axis=0))):
-                self._step(name, grad)
-            for d in range(c.shape[1]):
-                own = np.ascontiguousarray(c[:, d])
-                order = np.argsort(own, kind="stable")
-                own = own[order]
-                at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                self._step_rows(d, own[at], np.add.reduceat(back.take(order, axis=0), at, axis=0))
-            self.places += len(t)
-
-
-def masked(sym: np.ndarray, ctx: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and symbols of the places masked in this round; each place falls to one of the ROUNDS rounds, by a hash of place and word."""
-    key = tn.mix((np.arange(len(sym), dtype=np.uint64) << np.uint64(20)) + sym.astype(np.uint64))
-    at = np.flatnonzero(key % np.uint64(ROUNDS) == turn)
-    return ctx[at], sym[at]
+            self.step(ctx[a : a + BATCH], target[a : a + BATCH])
+
+    def step(self, c: np.ndarray, t: np.ndarray) -> None:
+        net, h, path, n = self.net, _hidden(self.net, c), _Paths(t), len(t)
+        back = np.empty((n, HIDDEN), np.float32)
+        layer, down = np.zeros_like(net["layer"]), np.ascontiguousarray(net["layer"][:HIDDEN].T)
+        reach = float(_reach(net["layer"]))
+        for x in range(0, n, SLICE):
+            own = h[x : x + SLICE]
+            g = _error(own @ net["layer"], path.first[x : x + SLICE], reach)
+            np.matmul(g, down, out=back[x : x + SLICE])
+            layer += own.T @ g
+        second, reach = np.zeros_like(net["second"]), float(_reach(net["second"]).max())
+        h2 = h.take(path.inner, axis=0)
+        back2 = np.empty((len(h2), HIDDEN), np.float32)
+        for x, y, runs in path.blocks:
+            z = np.empty((y - x, MEMBERS), np.float32)
+            for k, a, b in runs:
+                np.matmul(h2[a:b], net["second"][k], out=z[a - x : b - x])
+            g = _error(z, path.member[x:y], reach)
+            for k, a, b in runs:
+                np.matmul(g[a - x : b - x], net["second"][k, :HIDDEN].T, out=back2[a:b])
+                second[k] += h2[a:b].T @ g[a - x : b - x]
+        back[path.inner] += back2
+        third, reach = np.zeros_like(net["third"]), float(_reach(net["third"])) - float(self.vocab["parts"].min())
+        for x in range(0, len(path.hashed), SLICE):
+            own = path.hashed[x : x + SLICE]
+            h3 = h[own, :HIDDEN]
+            z = h3 @ net["third"]
+            z += self.vocab["parts"][path.bucket[x : x + SLICE]]
+            g = _error(z, path.part[x : x + SLICE], reach)
+            third += h3.T @ g
+            back[own] += g @ net["third"].T
+        h = h[:, :HIDDEN]
+        back *= 1 - h * h
+        for name, grad in (("second", second), ("third", third), ("layer", layer), ("inner", back.sum(axis=0))):
+            self._step(name, grad, n)
+        columns = back.T.astype(np.float64)
+        for d in range(c.shape[1]):
+            # The distinct rows of the table, and which of them each place has.
+            seen = np.zeros(CONTEXTS, bool)
+            seen[c[:, d]] = True
+            rows = np.flatnonzero(seen)
+            self.rank[rows] = np.arange(len(rows))
+            mine = self.rank[c[:, d]]
+            self._step_rows(d, rows, np.stack([np.bincount(mine, x, len(rows)) for x in columns]).T.astype(np.float32, order="C"), n)
+        self.places += n
+
+
+def masked(sym: np.ndarray, place: np.ndarray, turn: int) -> np.ndarray:
+    """The places masked in this round; each falls to one of the ROUNDS rounds, by a hash of the word and its place in its document."""
+    key = tn.mix((place.astype(np.uint64) << np.uint64(20)) + sym.astype(np.uint64))
+    return np.flatnonzero(key % np.uint64(ROUNDS) == turn)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """Texts of rows sorted by hash and id; of rows alike in both one."""
+    last = None
+    for b in batches:
+        for h, i, words in zip(b.column("h").to_pylist(), b.column("doc_id").to_pylist(), b.column("words").to_pylist()):
+            if (h, i) != last:
+                yield words
+            last = h, i
 
 
 def _trained(shared, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trainer = Trainer(*pickle.loads(shared.value))
-    for b in batches:
-        for blobs in _groups(b.column(0).to_pylist()):
-            sym, ctx, _ = contexts(blobs)
-            trainer.learn(*masked(sym, ctx, turn))
+    held, size = [], 0
+    for blobs in _groups(_distinct(batches)):
+        sym, ctx, _, place = contexts(blobs)
+        at = masked(sym, place, turn)
+        held.append((ctx[at], sym[at]))
+        size += len(at)
+        if size >= 8 * BATCH:
+            size = _learn(trainer, held, size // BATCH * BATCH)
+    if size:
+        _learn(trainer, held, size)
     if trainer.places:
+        shard = TaskContext.get().partitionId()
         parts = np.array_split(_flat(trainer.net), 16)
-        salt = TaskContext.get().partitionId() % _SALTS
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([salt] * 16, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([trainer.places] * 16, pa.int64())], names=["part", "salt", "weights", "places"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([shard] * 16, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([trainer.places] * 16, pa.int64())], names=["part", "shard", "weights", "places"])
+
+
+def _learn(trainer: Trainer, held: list, n: int) -> int:
+    """Learn from the first n places held; the rest stay. So batches are full ones, wherever groups of documents end."""
+    ctx, sym = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+    trainer.learn(ctx[:n], sym[:n])
+    held[:] = [(ctx[n:], sym[n:])]
+    return len(sym) - n
 
 
 def _averaged(table: pa.Table) -> pa.Table:
-    """The mean of the weights, each counted by its places."""
+    """The mean of the weights, each counted by its places, summed up in order of the shards."""
+    table = table.sort_by("shard")
     places = table.column("places").to_numpy()
-    total = sum(np.frombuffer(w.as_buffer(), np.float32) * (n / places.sum()) for w, n in zip(table.column("weights"), places))
-    row = {"part": [table.column("part")[0].as_py()], "salt": [0], "weights": [total.astype(np.float32).tobytes()], "places": [int(places.sum())]}
-    return pa.Table.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("salt", pa.int32()), ("weights", pa.binary()), ("places", pa.int64())]))
+    total = 0.0
+    for w, n in zip(table.column("weights"), places):
+        total = total + np.frombuffer(w.as_buffer(), np.float32) * (n / places.sum())
+    row = {"part": [table.column("part")[0].as_py()], "shard": [table.column("shard")[0].as_py()], "weights": [total.astype(np.float32).tobytes()], "places": [int(places.sum())]}
+    return pa.Table.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("weights", pa.binary()), ("places", pa.int64())]))
 
 
-_SUMS = "part int, salt int, weights binary, places long"
+_SUMS = "part int, shard int, weights binary, places long"
 
 
-def train(encoded: DataFrame, vocab: dict) -> dict:
-    """The network after ROUNDS rounds over all documents of encoded (doc_id, words)."""
+def train(encoded: DataFrame, vocab: dict, shards: int) -> dict:
+    """The network after ROUNDS rounds over all documents of encoded (doc_id, h, words); rows alike in id and hash count once."""
     sc = encoded.sparkSession.sparkContext
     net = start(vocab)
+    dealt = encoded.select("h", "doc_id", "words").repartitionById(shards, F.pmod("h", F.lit(shards)).cast("int")).sortWithinPartitions("h", "doc_id")
     for turn in range(ROUNDS):
         shared = sc.broadcast(pickle.dumps((net, vocab), protocol=5))
-        local = encoded.select("words").mapInArrow(lambda it, s=shared, t=turn: _trained(s, t, it), _SUMS)
-        # In two steps, so that no task adds up the networks of all others.
-        parts = local.groupBy("part", "salt").applyInArrow(_averaged, _SUMS).groupBy("part").applyInArrow(_averaged, _SUMS).collect()
+        local = dealt.mapInArrow(lambda it, s=shared, t=turn: _trained(s, t, it), _SUMS)
+        # In two steps of about as many networks each, so that no task adds up all of them.
+        salted = local.groupBy("part", (F.col("shard") % max(1, math.isqrt(shards))).alias("salt")).applyInArrow(_averaged, _SUMS)
+        parts = salted.groupBy("part").applyInArrow(_averaged, _SUMS).collect()
         if not parts:
             return net
         parts.sort(key=lambda r: r.part)
@@ -353,11 +440,9 @@ def train(encoded: DataFrame, vocab: dict) -> dict:
 def log_probabilities(blobs: list[bytes], net: dict, vocab: dict) -> np.ndarray:
     """The sum for each document."""
     out = np.zeros(len(blobs))
-    sym, ctx, doc = contexts(blobs)
-    for a in range(0, len(sym), 8192):
-        h = _hidden(net, ctx[a : a + 8192])
-        p = _Path(net, vocab, h, sym[a : a + 8192]).total(net, h)
-        out += np.bincount(doc[a : a + 8192], p, minlength=len(blobs))
+    sym, ctx, doc, _ = contexts(blobs)
+    for a in range(0, len(sym), BATCH):
+        out += np.bincount(doc[a : a + BATCH], word_scores(net, vocab, ctx[a : a + BATCH], sym[a : a + BATCH]), minlength=len(blobs))
     return out
 
 
@@ -371,17 +456,23 @@ def _scored(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(score), pa.array(mean, from_pandas=True)], names=["doc_id", "n_words", "score", "mean_score"])
 
 
+def shards_of(words: int) -> int:
+    return max(1, min(MOST_SHARDS, -(-words // SHARD_WORDS)))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, score, mean_score) for every row of docs, repeated rows and null ids each.
 
-    score is the sum of log-probabilities, 0 for null, empty and wordless texts, whose mean is null. An empty table gives an empty result. The network
-    depends on how the input is cut into tasks, as averaging does; the same files and settings give the same network.
+    score is the sum of log-probabilities, 0 for null, empty and wordless texts, whose mean is null. Rows alike in id and text are learnt from once and scored
+    each; copies under other ids are learnt from each. An empty table gives an empty result. Scores depend on the rows alone, not on how they are cut into files
+    and tasks. Other columns, whatever their names, are not read.
     """
     prepare(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    vocab = vocabulary(docs)
+    vocab, total = vocabulary(docs)
     frequent = sc.broadcast(pickle.dumps(vocab["frequent"], protocol=5))
-    encoded = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _encoded(frequent, it), "doc_id long, words binary"), "encoded")
-    net = train(encoded, vocab)
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"))
+    encoded = materialize(own.mapInArrow(lambda it: _encoded(frequent, it), "doc_id long, words binary, h long, first boolean"), "encoded")
+    net = train(encoded.where("first AND words <> X''"), vocab, shards_of(total))
     shared = sc.broadcast(pickle.dumps((net, vocab), protocol=5))
-    return encoded.mapInArrow(lambda it: _scored(shared, it), "doc_id long, n_words long, score double, mean_score double")
+    return encoded.select("doc_id", "words").mapInArrow(lambda it: _scored(shared, it), "doc_id long, n_words long, score double, mean_score double")
