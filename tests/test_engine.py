@@ -10,7 +10,7 @@ from vellumry import tree
 from vellumry.engine import Engine
 from vellumry.operators import documents
 from vellumry.reconciliation import Reconciler
-from vellumry.registry import Backend
+from vellumry.registry import LAYOUTS, Backend, Layout
 from vellumry.sources import content_files, tables
 from vellumry.store import Conflict, Store
 
@@ -99,6 +99,27 @@ def test_saves_that_are_refused(spark, site):
     assert {r.ID for r in e.posts().collect()} == {42, 50}
 
 
+def test_layouts_and_hooks(spark, tmp_path):
+    root, store = str(tmp_path / "files"), f"file://{tmp_path}/store"
+    put(root, "flat/7-seven.md", "---\nid: 7\ntitle: Seven\n---\n\n*seven*\n")
+    put(root, "README.md", "---\ntitle: not content\n---\n\nx\n")
+    flat = Layout(
+        paths=lambda posts, excluded: posts.select("ID", F.concat(F.lit("flat/"), F.col("ID"), F.lit("-"), F.col("post_name"), F.lit(".md")).alias("path")),
+        slug=lambda path: F.regexp_extract(path, r"\d+-([^/]+)\.md$", 1),
+        sources=lambda rows: rows.where(F.col("path").startswith("flat/")),
+    )
+    if "flat" not in LAYOUTS._known:
+        LAYOUTS.register("flat", flat)
+    to_html = lambda rows: rows.withColumn("post_content", F.regexp_replace("post_content", r"\*(\w+)\*", "<b>$1</b>"))
+    to_markdown = lambda rows: rows.withColumn("post_content", F.regexp_replace("post_content", "<b>(\\w+)</b>", "*$1*"))
+    e = Engine(spark, root, store, layout="flat", after_read=to_html, before_write=to_markdown)
+    assert e.open()["posts"] == 1 and [(r.ID, r.post_name, r.post_content) for r in e.posts().collect()] == [(7, "seven", "<b>seven</b>")]
+    e.save(spark.createDataFrame([post(8, "eight", post_content="<b>eight</b>")]))
+    assert [(r.path, r.change) for r in e.flush().collect()] == [("flat/8-eight.md", "created")] and read(root, "flat/8-eight.md").endswith("\n\n*eight*\n")
+    with pytest.raises(KeyError):
+        Engine(spark, root, store, layout="none")
+
+
 def test_a_tree_that_changes_while_it_is_read_is_not_published(spark, site, monkeypatch):
     root, store = site
     e = Engine(spark, root, store)
@@ -137,6 +158,12 @@ def test_migration(spark, tmp_path):
     assert (row.ID, row.post_title, row.post_content, row.post_date, row.profile) == (1, "A", "body", "2024-01-02 03:04:05", "portable")
 
 
+def test_leftovers_of_dead_writers_are_reclaimed(spark, tmp_path):
+    put(str(tmp_path), "a/x.md.1.tmp", "half")
+    put(str(tmp_path), "a/y.md", "whole")
+    assert tree.reclaim(spark, str(tmp_path)) == 0 and tree.reclaim(spark, str(tmp_path), -10) == 1 and listing(str(tmp_path)) == ["a/y.md"]
+
+
 def test_ids_go_into_files_and_nothing_else_changes(spark):
     raw = {"---\ntitle: x\n---\n\nb\n": "---\nid: 5\ntitle: x\n---\n\nb\n", "---\ntitle: x\nID : 9\nz: 1\n---\nid: 3": "---\ntitle: x\nid: 5\nz: 1\n---\nid: 3", "plain\n": "---\nid: 5\n---\n\nplain\n", "": "---\nid: 5\n---\n\n"}
     rows = spark.createDataFrame([(k,) for k in raw], "raw string").select("raw", tree.with_id(F.col("raw"), F.lit(5)).alias("new")).collect()

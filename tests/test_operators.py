@@ -102,3 +102,51 @@ def test_newest_wins_keeps_files_without_ids(spark):
 def test_names(spark):
     d = spark.createDataFrame([("Hello World!",), ("---",), ("",)], "s string")
     assert [tuple(r) for r in d.select(fx.slug(F.col("s")), fx.safe_segment(F.col("s"))).collect()] == [("Hello-World", "hello-world"), ("unnamed", "untitled"), ("unnamed", "untitled")]
+
+
+def test_writes_that_files_must_follow_name_ids():
+    assert mutations.prepared_ids("UPDATE wp_posts SET a = 1 WHERE ID IN (3, 4)") == [3, 4] and mutations.prepared_ids("SELECT 1 FROM wp_posts") == [] == mutations.prepared_ids("UPDATE wp_options SET a = 1")
+    for sql in ("UPDATE wp_posts SET a = 1", "DELETE FROM `wp_posts` WHERE ID = 1 OR ID = 2", "REPLACE INTO wp_posts (ID) VALUES (1)"):
+        with pytest.raises(ValueError):
+            mutations.prepared_ids(sql)
+
+
+def test_outbox_schema(spark):
+    good = spark.createDataFrame([], outbox.SCHEMA)
+    assert outbox.validated(good).count() == 0
+    with pytest.raises(ValueError, match="lease_token string"):
+        outbox.validated(good.drop("lease_token"))
+    odd = spark.range(1).select(F.col("id"), *[F.lit("odd" if c == "state" else None).cast(t).alias(c) for c, t in good.dtypes[1:]])
+    with pytest.raises(Exception, match="no such state: odd"):
+        outbox.validated(odd).collect()
+    with pytest.raises(ValueError):
+        outbox.claim(good, F.expr("TIMESTAMP_NTZ '2024-01-01'"), "w", "l", 0, 60)
+
+
+def test_strict_matches_raise(spark):
+    rows, targets = spark.createDataFrame([("a", "x")], "s string, p string"), spark.createDataFrame([(1, "a", "z"), (2, "a", "x")], "ID long, s string, p string")
+    assert reconcile.priority_match(rows, targets, [("s", "s"), ("p", "p")], "ID", strict=True).first().matched == 2
+    with pytest.raises(Exception, match="several targets for a"):
+        reconcile.priority_match(rows, targets, [("s", "s")], "ID", strict=True).collect()
+    with pytest.raises(Exception, match="no target for b"):
+        reconcile.priority_match(spark.createDataFrame([("b", "q")], "s string, p string"), targets, [("s", "s")], "ID", strict=True).collect()
+    with pytest.raises(ValueError):
+        reconcile.validated(spark.createDataFrame([(1, None, None, None)], "k int, c string, w string, b string"), "k")
+
+
+def test_deep_trees_and_scoped_walks(spark):
+    n = spark.createDataFrame([(i, i - 1 if i else None) for i in range(7)] + [(100, 101), (101, 100)], "ID long, post_parent long")
+    assert hierarchy.ancestors(n).where("ID = 6").count() == 6
+    some = spark.createDataFrame([(3,), (100,)], "ID long")
+    assert sorted(map(tuple, hierarchy.ancestors(n, some).collect())) == [(3, 0, 3), (3, 1, 2), (3, 2, 1), (100, 101, 1)]
+    assert {r.ID: r.depth for r in hierarchy.descendants(n, 1).collect()} == {i: i - 1 for i in range(2, 7)}
+    assert [tuple(r) for r in hierarchy.recoverable(n, 3, 5, 5).collect()] == [(5, 5), (6, 6)]
+
+
+def test_paths_and_identities(spark):
+    d = spark.createDataFrame([("a/./b//c",), ("/x/../y/",), ("../z",), ("a\\b",), ("",)], "p string")
+    assert [r[0] for r in d.select(fx.normalized_path(F.col("p"))).collect()] == ["a/b/c", "/y", None, "a/b", ""]
+    j = spark.createDataFrame([('{"b": [2, 1], "a": {"d": 1, "c": null}}',), ('{"a":{"c":null,"d":1},"b":[2,1]}',), ("{",), (None,)], "j string")
+    found = [r[0] for r in j.select(fx.exact_identity(F.col("j"))).collect()]
+    assert found[0] == found[1] is not None and found[2:] == [None, None]
+    assert [r[0] for r in spark.createDataFrame([("aéb",), ("北",)], "s string").select(fx.slug(F.col("s"))).collect()] == ["a--b", "unnamed"]

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumry import tree
+from vellumry.functions import text as fx
 from vellumry.operators import content, dedup, documents, merge, reconcile
-from vellumry.registry import FILES, Backend
+from vellumry.registry import FILES, LAYOUTS, Backend
 from vellumry.session import reachable, written
 from vellumry.sources import content_files
 from vellumry.store import Conflict, Store
@@ -23,11 +24,28 @@ _FILE = {"path": "string", "mtime": "timestamp", "size": "bigint"}
 
 
 class Engine:
-    """files: the tree's root. root: where generations are kept. excluded: types without files. hooks: before_write rewrites rows before they become files,
-    on_flushed is told the receipts, authorize(operation, rows) may raise."""
-
-    def __init__(self, spark: SparkSession, files: str, root: str, profile: str = "native", excluded: tuple[str, ...] = (), backend: Backend = FILES, before_write: tree.Hook | None = None, on_flushed: Callable[[DataFrame], None] | None = None, authorize: Callable[[str, DataFrame], None] | None = None):
+    """files: the tree's root. root: where generations are kept. excluded: types without files. layout: one of LAYOUTS. hooks: after_read and before_write rewrite rows
+    that were read from files or are about to become files (converting their content, for one), on_flushed is told the receipts of a flush and on_failed what it raised,
+    authorize(operation, rows) may raise."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        files: str,
+        root: str,
+        profile: str = "native",
+        excluded: tuple[str, ...] = (),
+        backend: Backend = FILES,
+        layout: str | None = None,
+        after_read: tree.Hook | None = None,
+        before_write: tree.Hook | None = None,
+        on_flushed: Callable[[DataFrame], None] | None = None,
+        on_failed: Callable[[Exception], None] | None = None,
+        authorize: Callable[[str, DataFrame], None] | None = None,
+    ):
         backend.require(("read",))
+        self.layout, self.after_read = LAYOUTS.resolve(layout), after_read
+        self.on_failed = on_failed
         self.spark, self.files, self.profile, self.excluded, self.backend = reachable(spark), files, profile, excluded, backend
         self.store, self.before_write, self.on_flushed, self.authorize = Store(spark, root), before_write, on_flushed, authorize
 
@@ -35,12 +53,27 @@ class Engine:
         """Load what the tree holds: everything if there is no generation yet, else what changed since."""
         return self.warm() if self.store.generation("posts") else self.cold()
 
+    def _listed(self) -> DataFrame:
+        """(path, mtime, size) of the files that count as content."""
+        found = content_files.manifest(self.spark, self.files, self.excluded)
+        return self.layout.sources(found) if self.layout.sources else found
+
     def _manifest(self) -> DataFrame:
-        return written(content_files.manifest(self.spark, self.files, self.excluded), "manifest")
+        return written(self._listed(), "manifest")
+
+    def _parsed(self, raw: DataFrame) -> DataFrame:
+        raw = self.layout.sources(raw) if self.layout.sources else raw
+        rows = content_files.parsed(raw, mapped=self.layout.slug)
+        return self.after_read(rows) if self.after_read else rows
+
+    def _paths(self, rows: DataFrame) -> DataFrame:
+        """(ID, path) by the layout; a path that leads out of the tree raises."""
+        found = self.layout.paths(rows, self.excluded).select("ID", "path") if self.layout.paths else tree.paths_of(rows, self.excluded)
+        return found.withColumn("path", F.when(fx.safe_path(F.col("path")), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("no path in the tree: "), F.coalesce("path", F.lit("null"))))))
 
     def _unchanged(self, before: DataFrame) -> None:
         """Raise Conflict if the tree isn't what it was: a state that was read across a change is never published."""
-        if not reconcile.manifest_diff(before, content_files.manifest(self.spark, self.files, self.excluded)).where("status <> 'unchanged'").isEmpty():
+        if not reconcile.manifest_diff(before, self._listed()).where("status <> 'unchanged'").isEmpty():
             raise Conflict("the tree changed while it was read")
 
     def _publish(self, posts: DataFrame, expected: int, **notes) -> int:
@@ -49,7 +82,7 @@ class Engine:
     def cold(self, write_ids: bool = True) -> dict:
         """All files as generation 1. Ids that were given to files without one are written into them. Whoever comes second uses the winner's generation."""
         seen = self._manifest()
-        raw = content_files.parsed(content_files.raw_files(self.spark, self.files, self.excluded))
+        raw = written(self._parsed(content_files.raw_files(self.spark, self.files, self.excluded)), "parsed")
         posts = written(content_files.placed(raw), "posts")
         self._unchanged(seen)
         try:
@@ -87,7 +120,7 @@ class Engine:
         if not set(counts) - {"unchanged"}:
             return {"generation": base, "cold": False} | counts
         changed = diff.where("status IN ('new', 'changed')").select("path")
-        raw = written(content_files.parsed(tree.read_files(self.spark, self.files, changed)), "changed")
+        raw = written(self._parsed(tree.read_files(self.spark, self.files, changed)), "changed")
         stay = old.join(diff.where("status <> 'unchanged'").select("path"), "path", "left_anti")
         # Of a post that moved, the newest file counts, and its old row goes with the old path.
         fresh = dedup.newest_wins(raw, "ID", "mtime", "path")
@@ -107,7 +140,7 @@ class Engine:
         return {"generation": number, "cold": False, "ids_written": ids} | counts
 
     def _rebuilt(self, base: int) -> dict:
-        posts = written(content_files.posts(self.spark, self.files, self.excluded), "posts")
+        posts = written(content_files.placed(self._parsed(content_files.raw_files(self.spark, self.files, self.excluded))), "posts")
         number = self._publish(posts, base)
         self._mark_flushed()
         return {"generation": number, "cold": True, "posts": posts.count()}
@@ -156,7 +189,7 @@ class Engine:
     def _state(self) -> DataFrame:
         """(ID, path, digest) of the posts that have files: where each belongs and what it says."""
         rows = documents.with_details(self.posts())
-        return rows.select("ID", documents.receipt().alias("digest")).join(tree.paths_of(rows, self.excluded), "ID").select("ID", "path", "digest")
+        return rows.select("ID", documents.receipt().alias("digest")).join(self._paths(rows), "ID").select("ID", "path", "digest")
 
     def _mark_flushed(self) -> None:
         """Remember what the tree holds: as its files lie now."""
@@ -164,6 +197,15 @@ class Engine:
         self.store.publish("flushed", rows.where("path IS NOT NULL").select("ID", "path", documents.receipt().alias("digest")), of=self.store.generation("posts"))
 
     def flush(self) -> DataFrame:
+        """_flush(), and what it raises is told to on_failed first."""
+        try:
+            return self._flush()
+        except Exception as e:
+            if self.on_failed:
+                self.on_failed(e)
+            raise
+
+    def _flush(self) -> DataFrame:
         """Write the files of posts that changed since the tree was last read or written, move those whose place changed (a post that got children becomes its folder's
         index), delete the others' old ones. Returns (path, change): created, changed or deleted."""
         self.backend.require(("write",))
@@ -193,7 +235,7 @@ class Engine:
 
     def health(self) -> dict:
         """Whether posts and files agree: how many are on both sides and on one, and how many changes wait for a flush."""
-        here = content_files.manifest(self.spark, self.files, self.excluded).select("path")
+        here = self._listed().select("path")
         counts = content.audit(self.posts().where("path IS NOT NULL").select("path"), here, "path").first().asDict()
         waiting = self.store.generation("posts") - self.store.notes("flushed").get("of", 0)
         return counts | {"generation": self.store.generation("posts"), "generations_to_flush": waiting}

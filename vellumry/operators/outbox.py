@@ -12,6 +12,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 STATES = ("pending", "leased", "failed", "acked", "diagnostic")
 
 
+#: Columns of an outbox; others may stand behind them.
+SCHEMA = "id bigint, state string, created_at timestamp_ntz, available_at timestamp_ntz, leased_until timestamp_ntz, worker_token string, lease_token string, attempts bigint, reclaims bigint, failures bigint, last_error string"
+
+
+def validated(events: DataFrame) -> DataFrame:
+    """events as they are; missing columns, other types and states that aren't known raise."""
+    have = dict(events.dtypes)
+    wrong = [f"{c} {t}" for c, t in (part.strip().rsplit(" ", 1) for part in SCHEMA.split(",")) if have.get(c) != t]
+    if wrong:
+        raise ValueError(f"an outbox needs {', '.join(wrong)}")
+    known = F.coalesce(F.col("state").isin(*STATES), F.lit(False))
+    return events.withColumn("state", F.when(known, F.col("state")).otherwise(F.raise_error(F.concat(F.lit("no such state: "), F.coalesce("state", F.lit("null"))))))
+
+
 def eligible(now: Column) -> Column:
     waiting = F.col("state").isin("pending", "failed") & (F.col("available_at") <= now)
     return waiting | ((F.col("state") == "leased") & (F.col("leased_until") <= now))

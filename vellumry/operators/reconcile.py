@@ -118,14 +118,20 @@ def apply_order(entries: DataFrame, deleted: str = "is_delete", depth: str = "de
     return entries.orderBy(F.col(deleted), F.when(F.col(deleted), -F.col(depth)).otherwise(F.col(depth)), key)
 
 
-def priority_match(rows: DataFrame, targets: DataFrame, pairs: list[tuple[str, str]], ident: str) -> DataFrame:
-    """Match rows to targets by the first of several key pairs that finds exactly one target; adds `matched`. Keys that aren't unique match nothing."""
+def priority_match(rows: DataFrame, targets: DataFrame, pairs: list[tuple[str, str]], ident: str, strict: bool = False) -> DataFrame:
+    """Match rows to targets by the first of several key pairs that finds exactly one target; adds `matched`. Keys that aren't unique match nothing, or raise if strict,
+    and so does then a row that has a key but no target."""
     out, found = rows, []
     for k, (own, other) in enumerate(pairs):
         one = targets.where(F.col(other).isNotNull()).groupBy(F.col(other).alias(f"__k{k}")).agg(F.min(ident).alias(f"__m{k}"), F.count(F.lit(1)).alias(f"__n{k}"))
         out = out.join(one, F.col(own) == F.col(f"__k{k}"), "left")
         found.append(F.when(F.col(f"__n{k}") == 1, F.col(f"__m{k}")))
-    return out.withColumn("matched", F.coalesce(*found)).drop(*[f"__{x}{k}" for x in "kmn" for k in range(len(pairs))])
+    matched = F.coalesce(*found)
+    if strict:
+        several = F.coalesce(*[F.when(F.col(f"__n{k}") > 1, F.lit(True)) for k in range(len(pairs))], F.lit(False))
+        keyed = F.coalesce(*[F.col(own).cast("string") for own, _ in pairs])
+        matched = F.when(several & matched.isNull(), F.raise_error(F.concat(F.lit("several targets for "), keyed)).cast(dict(targets.dtypes)[ident])).when(matched.isNull() & keyed.isNotNull(), F.raise_error(F.concat(F.lit("no target for "), keyed)).cast(dict(targets.dtypes)[ident])).otherwise(matched)
+    return out.withColumn("matched", matched).drop(*[f"__{x}{k}" for x in "kmn" for k in range(len(pairs))])
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

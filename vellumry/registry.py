@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Generic, TypeVar
 
+from pyspark.sql import Column, DataFrame
+
 V = TypeVar("V")
 CAPABILITIES = ("read", "write", "transactions", "savepoints", "search", "lazy_content", "change_capture", "reconcile")
 
@@ -29,6 +31,21 @@ class Registry(Generic[V]):
         return self._known[name][0]
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where posts lie in a tree. paths: (posts, excluded types) -> (ID, path); slug: a path's post name; sources: which rows (path, ...) of the tree are content.
+    What is None is as the tree layout has it: folders by type and ancestors."""
+
+    paths: Callable[[DataFrame, tuple[str, ...]], DataFrame] | None = None
+    slug: Callable[[Column], Column] | None = None
+    sources: Callable[[DataFrame], DataFrame] | None = None
+
+
+#: Layouts by name; an unknown one raises.
+LAYOUTS: Registry[Layout] = Registry("tree")
+LAYOUTS.register("tree", Layout())
+
+
 @dataclass(frozen=True)
 class Backend:
     name: str

@@ -22,9 +22,10 @@ def log_stream(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> D
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
-def committed_stream(log: DataFrame, idle: int = 3_600) -> DataFrame:
-    """(session, event) of committed events. State per session is what its open transaction holds; sessions at rest keep none, and a transaction to which nothing
-    comes for `idle` seconds is rolled back, so no session that was left open is held for ever."""
+def committed_stream(log: DataFrame, idle: int | None = None) -> DataFrame:
+    """(session, event) of committed events. State per session is what its open transaction holds; sessions at rest keep none. idle: after so many seconds to which
+    nothing came a transaction is rolled back, so that no session left open is held for ever; for streams that run on, as one that ends when its input does would wait
+    for its timers."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         out: list[int] = []
@@ -37,12 +38,13 @@ def committed_stream(log: DataFrame, idle: int = 3_600) -> DataFrame:
                 out += own.push(action, point, None if pd.isna(event) else int(event))
             if own.open:
                 state.update((json.dumps(own.held()),))
-                state.setTimeoutDuration(idle * 1000)
+                if idle:
+                    state.setTimeoutDuration(idle * 1000)
             elif state.exists:
                 state.remove()
         yield pd.DataFrame({"session": [key[0]] * len(out), "event": out}).astype({"session": "int64", "event": "int64"})
 
-    return log.groupBy("session").applyInPandasWithState(run, "session long, event long", "own string", "append", "ProcessingTimeTimeout")
+    return log.groupBy("session").applyInPandasWithState(run, "session long, event long", "own string", "append", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
 def handed(batch: DataFrame, handle: Callable[[DataFrame], None], bit: int = 0) -> list[tuple[DataFrame, str]]:

@@ -110,6 +110,14 @@ def _emptied(fs, folder: str) -> bool:
     return True
 
 
+def reclaim(spark: SparkSession, root: str, older: float = 3600.0) -> int:
+    """Delete what writers that died left aside, *.tmp files older than so many seconds; how many there were."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tmp").load(root)
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("modificationTime")
+    stale = found.where(age > older).select(content_files._relative(F.col("path"), root).alias("path"))
+    return delete_files(stale, root).where("deleted").count()
+
+
 def truncate(spark: SparkSession, root: str, post_type: str | None = None) -> DataFrame:
     """Delete the files of one type, or of all; (path, deleted)."""
     there = content_files.manifest(spark, root).select("path")
