@@ -173,7 +173,7 @@ def test_decontamination_equals_brute_force():
         for ident, item in items:
             it = norm(item)
             cuts = [*range(0, len(it) - decontam.WINDOW, decontam.STRIDE), len(it) - decontam.WINDOW]
-            if any(_least_edits(it[a : a + decontam.WINDOW], norm(text)) <= math.floor(decontam.RATE * decontam.WINDOW) for a in cuts):
+            if (_least_of_all([it[a : a + decontam.WINDOW] for a in cuts], norm(text)) <= math.floor(decontam.RATE * decontam.WINDOW)).any():
                 want.append(ident)
         assert got == want
     assert any(found) and not all(found)
@@ -223,10 +223,26 @@ def test_decontamination_odd_rows(spark):
     assert decontam.leaks(docs.where("false"), bench).count() == 0
 
 
+def _least_of_all(passages, text):
+    """_least_edits() of passages of one length, as whole matrices."""
+    codes = np.array([ord(c) for c in text], np.int64)
+    rows = np.array([[ord(c) for c in p] for p in passages], np.int64)
+    ramp, prev = np.arange(len(codes) + 1), np.zeros((len(rows), len(codes) + 1), np.int64)
+    for i in range(rows.shape[1]):
+        cur = np.full_like(prev, i + 1)
+        cur[:, 1:] = np.minimum(prev[:, :-1] + (rows[:, i, None] != codes), prev[:, 1:] + 1)
+        prev = np.minimum.accumulate(cur - ramp, axis=1) + ramp
+    return prev.min(axis=1)
+
+
+def test_least_of_all_is_the_plain_distance():
+    assert _least_of_all(["abcd", "xbcd", "zzzz"], "aabd bcd").tolist() == [_least_edits(p, "aabd bcd") for p in ("abcd", "xbcd", "zzzz")]
+
+
 def test_decontamination_of_short_items_equals_brute_force():
     rng = np.random.default_rng(11)
     items, texts = [], []
-    for k in range(60):
+    for k in range(32):
         m = int(rng.integers(1, 300)) if k % 2 else int(rng.integers(1, 40))
         item = re.sub(r" +", " ", " ".join(words(60, 2000 + k))[:m]).strip() or "q"
         items.append((k, item))
@@ -249,11 +265,11 @@ def test_decontamination_of_short_items_equals_brute_force():
             else:
                 budget = lambda p: (e if len(p) - 7 - 8 * e >= 1 else 0) if (e := math.floor(decontam.RATE * len(p))) else 0
                 passages = {it[a : a + decontam.WINDOW] for a in range(len(it) - decontam.WINDOW + 1)} | ({it} if len(it) < 2 * decontam.WINDOW else set())
-                hit = any(_least_edits(p, own) <= budget(p) for p in passages)
+                hit = any((_least_of_all([p for p in passages if len(p) == n], own) <= budget("x" * n)).any() for n in {len(p) for p in passages})
             if hit:
                 want.append(ident)
         assert got == want, text
-    assert sum(map(bool, found)) > 30
+    assert sum(map(bool, found)) > 20
 
 
 @pytest.mark.parametrize("n", [0, 1, 33])
@@ -301,7 +317,7 @@ def test_table_of_balls_finds_all_pairs(prefix):
 
 def test_crowded_keys_lose_nothing(monkeypatch):
     # Many under one key of segment 0, most of them far from each other, and fewer one flip away.
-    monkeypatch.setattr(simhash, "MANY", 40)
+    monkeypatch.setattr(simhash, "MANY", 300)
     rng = np.random.default_rng(9)
     fp = rng.integers(0, 2**63, (900, 2), dtype=np.int64).view(np.uint64)
     fp = np.concatenate([fp, [_flipped(rng, fp[rng.integers(900)], int(rng.integers(3, 20))) for _ in range(200)]])
