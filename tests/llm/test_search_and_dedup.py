@@ -51,6 +51,30 @@ def test_topk_odd_rows(spark):
     assert topk.topk(clashing(spark, odd_rows()), queries.where("false")).count() == 0
 
 
+def test_topk_index_rows_hold_no_postings(spark):
+    docs = [(i, " ".join(words(200, i % 50))) for i in range(300)]
+    queries = [(q, " ".join(words(3, q))) for q in range(10)]
+    index, n, mean = topk.build(spark.createDataFrame(docs, DOCS).coalesce(1))
+    # What Spark's readers and Arrow batches hold of a shard is its place, whatever it has of words.
+    assert [t for _, t in index.dtypes if t == "binary"] == [] and all(len(str(r)) < 1000 for r in index.collect())
+    found = topk.search(index, n, mean, spark.createDataFrame(queries, "item_id long, text string"), 10)
+    assert sorted(map(tuple, found.collect())) == _bm25(docs, queries, 10)
+
+
+def test_topk_shards_end_by_postings(monkeypatch):
+    texts = [" ".join(words(200, i)) for i in range(100)]
+    batch = pa.record_batch([pa.array(range(100)), pa.array(texts)], names=["doc_id", "text"])
+    whole = list(topk._shards(200.0, iter([batch])))
+    monkeypatch.setattr(topk, "POSTINGS", 3000)
+    monkeypatch.setattr(topk, "PIECE", 8)
+    cut = list(topk._shards(200.0, iter([batch.slice(0, 37), batch.slice(37)])))
+    assert len(whole) == 1 and len(cut) > 5 and max(len(x["postings"]) for x in cut) < 3000 + 8 * 200
+    assert sum(len(x["postings"]) for x in cut) == len(whole[0]["postings"]) and np.concatenate([x["doc_ids"] for x in cut]).tolist() == list(range(100))
+    monkeypatch.setattr(topk, "SHARD", 5)
+    few = [x["doc_ids"].tolist() for x in topk._shards(200.0, iter([batch.slice(0, 12)]))]
+    assert max(map(len, few)) == 5 and sum(few, []) == list(range(12))
+
+
 def test_letters_of_all_planes_are_words(spark):
     docs = spark.createDataFrame([(1, "𠀀𠀁 𝐀𝐁"), (2, "𠀁 other"), (3, "😀 😀")], DOCS)
     queries = spark.createDataFrame([(1, "𠀀𠀁"), (2, "😀")], "item_id long, text string")
