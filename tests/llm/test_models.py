@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.common import DOCS, clashing, odd_rows, words
@@ -263,6 +264,80 @@ def test_lm_step_follows_the_gradient():
         assert abs(change - want) < 0.02 * abs(want) + 1e-4, name
 
 
+def test_lm_encodes_known_words_that_share_their_lower_bits(monkeypatch):
+    monkeypatch.setattr(lm_score, "BUCKETS", 1)
+    monkeypatch.setattr(lm_score, "FINE", 16)
+    text = " ".join(words(300, 9))
+    h = tn.words([text])[0]
+    known = np.unique(h)[::3]
+    number = {int(x): k for k, x in enumerate(known)}
+    assert len(lm_score._slots(known)) > 3
+    got = np.frombuffer(lm_score.encode([text], known)[0], np.uint32).tolist()
+    assert got == [number.get(int(x), lm_score.KNOWN + int(x) % 16) for x in h] and lm_score._slots(known[:0]) == []
+
+
+def test_lm_rows_are_added_up_by_key():
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(9000, lm_score.HIDDEN)).astype(np.float32)
+    for keys in (rng.zipf(1.3, 36_000) % 5000, np.full(9000, 7), np.arange(9000)[::-1], rng.integers(0, 300, 18_000), np.array([3])):
+        rows, sums = lm_score._summed(keys.astype(np.uint16), values[: min(len(keys), 9000)])
+        plain = np.zeros((9000, lm_score.HIDDEN))
+        np.add.at(plain, keys, values[np.arange(len(keys)) % min(len(keys), 9000)].astype(float))
+        assert sorted(rows.tolist()) == np.unique(keys).tolist() and np.allclose(sums, plain[rows], atol=2e-3, rtol=1e-4)
+
+
+@pytest.mark.parametrize("scale", [1, 30])  # with the greater weights logits leave the range that needs no shift
+def test_lm_gradients_equal_plain_softmaxes(scale):
+    rng, L = np.random.default_rng(8), lm_score
+    draw = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1])).astype(np.float32)
+    vocab = {"classes": draw(L.FREQUENT + L.CLASSES), "members": draw(L.CLASSES, L.MEMBERS), "parts": draw(L.BUCKETS, L.FINE)}
+    net = {k: v * np.float32(scale if k != "tables" else 1) for k, v in L.start(vocab).items()}
+    net["third"] = rng.normal(0, 0.3, net["third"].shape).astype(np.float32)
+    # Frequent and known words, hashed ones, and one class of more than SLICE places.
+    sym = np.r_[rng.integers(0, L.KNOWN + L.BUCKETS * L.FINE, 700), rng.integers(0, L.KNOWN, 500), np.full(L.SLICE + 90, L.FREQUENT + 5)]
+    blocks = L._Paths(sym).blocks
+    classes = [k for _, _, runs in blocks for k, _, _ in runs]
+    assert len(classes) == len(set(classes)) and [x for x, _, _ in blocks] == [0, *(y for _, y, _ in blocks)][:-1]
+    ctx = rng.integers(0, 60, (len(sym), 2 * L.SIDE)).astype(np.uint16)
+    want = {k: np.zeros(v.shape) for k, v in net.items()}
+    for c, s in zip(ctx, sym):
+        h = np.r_[np.tanh(sum(net["tables"][d][k].astype(float) for d, k in enumerate(c)) + net["inner"]), 1.0]
+        leaf, part = (int(x) for x in L.leaves(np.array(s)))
+        first, member = (int(x) for x in L.place_of(np.array(leaf)))
+        back = np.zeros(L.HIDDEN + 1)
+        levels = [("layer", (), net["layer"], 0, first)]
+        levels += [("second", first - L.FREQUENT, net["second"][first - L.FREQUENT], 0, member)] if leaf >= L.FREQUENT else []
+        levels += [("third", (), np.r_[net["third"], vocab["parts"][leaf - L.KNOWN][None]], 1, part)] if leaf >= L.KNOWN else []
+        for name, at, w, fixed, target in levels:
+            z = h @ w.astype(float)
+            g = np.exp(z - z.max())
+            g /= g.sum()
+            g[target] -= 1
+            want[name][at] += np.outer(h, g)[: len(h) - fixed]
+            back += w.astype(float) @ g
+        back = back[:-1] * (1 - h[:-1] ** 2)
+        want["inner"] += back
+        for d, k in enumerate(c):
+            want["tables"][d, k] += back
+    trainer = L.Trainer(net, vocab)
+    trainer.step(ctx, sym)
+    for name, g in want.items():
+        assert np.allclose(np.sqrt(np.maximum(trainer.sums[name] - 1e-6, 0)), np.abs(g / len(sym)), rtol=2e-3, atol=2e-5 * scale), name
+
+
+def test_lm_counts_the_reach_of_its_weights_seldom(monkeypatch):
+    counted, plain = [], lm_score._reach
+    monkeypatch.setattr(lm_score, "_reach", lambda w: counted.append(w.shape) or plain(w))
+    rng = np.random.default_rng(5)
+    vocab = {"classes": np.zeros(lm_score.FREQUENT + lm_score.CLASSES, np.float32), "members": np.zeros((lm_score.CLASSES, lm_score.MEMBERS), np.float32), "parts": np.zeros((lm_score.BUCKETS, lm_score.FINE), np.float32)}
+    trainer = lm_score.Trainer(lm_score.start(vocab), vocab)
+    for _ in range(30):
+        before = {k: plain(trainer.net[k]).max() for k in ("layer", "second", "third")}
+        trainer.step(rng.integers(0, 50, (64, 4)).astype(np.uint16), rng.integers(0, lm_score.KNOWN + 9000, 64))
+        assert all(trainer.bounds[k] > before[k] - 1e-4 for k in before)
+    assert len(counted) <= 3 * 4
+
+
 def test_lm_odd_rows(spark):
     rows = lm_score.score(clashing(spark, odd_rows())).collect()
     assert len(rows) == len(odd_rows())

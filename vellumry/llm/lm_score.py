@@ -36,13 +36,17 @@ KNOWN, BUCKETS = FREQUENT + (CLASSES - HASHED) * MEMBERS, HASHED * MEMBERS
 ROUNDS, BATCH, STEP = 2, 8192, 0.1
 #: Words that a shard has about, until there are MOST_SHARDS; of more words each has more.
 SHARD_WORDS, MOST_SHARDS = 8_000_000, 8192
-#: Places whose first level is held at a time, so that it stays in a core's cache.
-SLICE = 512
+#: Places whose logits are held at a time, so that they stay in a core's cache, and places scored together, so that each class has many of them.
+SLICE, TOGETHER = 512, 1 << 16
+#: Rows of one key, beyond which they are added up by themselves, and weights that are stepped at a time.
+MANY, AT_ONCE = 40, 1 << 15
 #: Context symbols: all leaves, and the edge of the document.
 CONTEXTS = KNOWN + BUCKETS + 1
 _EDGE = CONTEXTS - 1
-#: Logits of greater size are shifted before they are exponentiated.
-_RANGE = 80
+#: Where each distance's table begins among the rows of all of them.
+_TABLE = (np.arange(2 * SIDE) * CONTEXTS).astype(np.min_scalar_type(2 * SIDE * CONTEXTS))[:, None]
+#: Logits of greater size are shifted before they are exponentiated. Sums of exponentials times weights stay within the range of floats, too.
+_RANGE = 60
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +110,28 @@ def leaves(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(b < 0, sym, KNOWN + (b >> _SHIFT)), b & (FINE - 1)
 
 
+def _slots(known: np.ndarray) -> list[np.ndarray]:
+    """Tables of the numbers of known words by the lower bits of their hashes, -1 where there is none; words that share these bits are in different tables."""
+    tables, left, low = [], np.arange(len(known)), (known & np.uint64(BUCKETS * FINE - 1)).astype(np.int64)
+    while len(left):
+        tables.append(np.full(BUCKETS * FINE, -1, np.int32))
+        tables[-1][low[left]] = left
+        left = left[tables[-1][low[left]] != left]
+    return tables
+
+
 def encode(texts: list, frequent: np.ndarray) -> list[bytes]:
     """Of each text its symbols, uint32: the number of a known word, or KNOWN + bucket * FINE + part."""
-    out = []
-    order = np.argsort(frequent)
-    known = frequent[order]
+    out, tables = [], _slots(frequent)
     for i, j in tn.chunks(texts):
         h, doc, *_ = tn.words(texts[i:j])
-        sym = (KNOWN + (h & np.uint64(BUCKETS * FINE - 1)).astype(np.int64)).astype(np.uint32)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[at] == h
-            sym[hit] = order[at[hit]]
+        low = (h & np.uint64(BUCKETS * FINE - 1)).astype(np.int64)
+        sym = (KNOWN + low).astype(np.uint32)
+        for table in tables:
+            word = table.take(low)
+            at = np.flatnonzero(word >= 0)
+            at = at[frequent.take(word[at]) == h[at]]
+            sym[at] = word[at]
         cut = np.searchsorted(doc, np.arange(j - i + 1))
         out += [sym[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
     return out
@@ -194,16 +208,19 @@ def _exp(z: np.ndarray, reach: float) -> np.ndarray:
 
 def _hidden(net: dict, ctx: np.ndarray) -> np.ndarray:
     """The hidden layer of each place, and 1 behind it for the biases."""
-    h = net["tables"][0].take(ctx[:, 0], axis=0)
-    for d in range(1, ctx.shape[1]):
-        h += net["tables"][d].take(ctx[:, d], axis=0)
-    h += net["inner"]
     out = np.ones((len(ctx), HIDDEN + 1), np.float32)
-    np.tanh(h, out=out[:, :HIDDEN])
+    for a in range(0, len(ctx), 4 * SLICE):
+        own = ctx[a : a + 4 * SLICE]
+        h = net["tables"][0].take(own[:, 0], axis=0)
+        for d in range(1, ctx.shape[1]):
+            h += net["tables"][d].take(own[:, d], axis=0)
+        h += net["inner"]
+        np.tanh(h, out=out[a : a + 4 * SLICE, :HIDDEN])
     return out
 
 
 _ONES = np.ones(FREQUENT + CLASSES, np.float32)
+_MANY_ONES = np.ones(BATCH, np.float32)
 
 
 class _Paths:
@@ -217,13 +234,17 @@ class _Paths:
         order = np.argsort(cls, kind="stable")
         self.inner, cls = inner[order], cls[order]
         self.member = member[self.inner]
-        #: Slices of inner, and the runs of one class in each.
+        #: Slices of inner that hold whole classes, about SLICE places each, and the runs of one class in each.
         self.blocks = []
-        cuts = np.unique(np.r_[np.searchsorted(cls, np.arange(CLASSES + 1)), np.arange(0, len(cls), SLICE)])
-        runs = [(int(cls[a]), a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        for x in range(0, len(cls), SLICE):
-            y = min(x + SLICE, len(cls))
-            self.blocks.append((x, y, [r for r in runs if x <= r[1] < y]))
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if b == a:
+                continue
+            if self.blocks and b - self.blocks[-1][0] <= SLICE:
+                x, _, runs = self.blocks[-1]
+                self.blocks[-1] = x, b, [*runs, (k, a, b)]
+            else:
+                self.blocks.append((a, b, [(k, a, b)]))
         self.hashed = np.flatnonzero(leaf >= KNOWN)
         self.part, self.bucket = part[self.hashed], leaf[self.hashed] - KNOWN
 
@@ -270,14 +291,42 @@ def _groups(blobs: Iterable, limit: int = 1 << 17) -> Iterator[list[bytes]]:
         yield own
 
 
+def _unscaled(z: np.ndarray, target: np.ndarray, reach: float) -> np.ndarray:
+    """z, logits, become the gradient of each place's loss by them, but for a factor of each row that is returned, (n, 1)."""
+    _exp(z, reach)
+    total = z @ _ONES[: z.shape[1]]
+    z[np.arange(len(target)), target] -= total
+    return (1 / total)[:, None]
+
+
 def _error(z: np.ndarray, target: np.ndarray, reach: float) -> np.ndarray:
     """z, logits, become the gradient of each place's loss by them."""
-    _exp(z, reach)
-    z *= (1 / (z @ _ONES[: z.shape[1]]))[:, None]
-    z[np.arange(len(target)), target] -= 1
+    z *= _unscaled(z, target, reach)
     return z
 
 
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and for each the sum of its rows of values; keys[i] is that of row i % len(values).
+
+    Keys are ordered by how often they occur; their first rows are taken at once, then the second rows of all that have one are added, and so on.
+    """
+    order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    count = np.diff(np.r_[begin, len(own)])
+    by = np.argsort((len(own) - count).astype(np.min_scalar_type(len(own))), kind="stable")
+    begin, count, row = begin[by], count[by], order % len(values)
+    more = np.searchsorted(-count, -np.arange(MANY + 1)).tolist()  # the keys that occur more often than 0, 1, ... times
+    out, often = values.take(row[begin], axis=0), more[MANY]
+    for j, (a, n) in enumerate(zip(begin[:often].tolist(), count[:often].tolist())):
+        np.matmul(_MANY_ONES[:n] if n <= BATCH else np.ones(n, np.float32), values.take(row[a : a + n], axis=0), out=out[j])
+    for r in range(1, MANY):
+        if more[r] <= often:
+            break
+        out[often : more[r]] += values.take(row[begin[often : more[r]] + r], axis=0)
+    return own[begin], out
+
+
 def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """table[rows] = values, each row moved as a whole."""
     whole = np.dtype((np.void, table.shape[1] * table.itemsize))
@@ -292,24 +341,43 @@ class Trainer:
         self.vocab = vocab
         self.sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in net.items()}
         self.places = 0
-        self.rank = np.zeros(CONTEXTS, np.int64)
-
-    def _step(self, name: str, grad: np.ndarray, n: int) -> None:
-        grad *= np.float32(1 / n)
-        self.sums[name] += grad * grad
-        grad *= np.float32(STEP)
-        grad /= np.sqrt(self.sums[name])
-        self.net[name] -= grad
-
-    def _step_rows(self, d: int, rows: np.ndarray, grad: np.ndarray, n: int) -> None:
-        grad *= np.float32(1 / n)
-        table, sums = self.net["tables"][d], self.sums["tables"][d]
-        now = sums.take(rows, axis=0)
-        now += grad * grad
-        _put(sums, rows, now)
-        grad *= np.float32(STEP)
-        grad /= np.sqrt(now, out=now)
-        _put(table, rows, table.take(rows, axis=0) - grad)
+        self.bounds: dict[str, float] = {}
+        self.least = float(vocab["parts"].min())
+
+    def _reach(self, name: str) -> float:
+        """At least the greatest _reach() of this matrix. A step moves no weight by more than STEP, so it's only counted anew when it might be beyond _RANGE."""
+        bound = self.bounds.get(name, np.inf) + 1.01 * STEP * (HIDDEN + 1)
+        if bound > _RANGE:
+            bound = float(_reach(self.net[name]).max())
+        self.bounds[name] = bound
+        return bound
+
+    def _step(self, name: str, grad: np.ndarray, n: int, at: slice = slice(None)) -> None:
+        """A step of these weights, those of the first axis `at`."""
+        flat = [x[at].reshape(-1) for x in (grad, self.sums[name], self.net[name])]
+        for a in range(0, flat[0].size, AT_ONCE):
+            g, sums, weights = (x[a : a + AT_ONCE] for x in flat)
+            g *= np.float32(1 / n)
+            new = g * g
+            sums += new
+            g *= np.float32(STEP)
+            g /= np.sqrt(sums, out=new)
+            weights -= g
+
+    def _step_rows(self, rows: np.ndarray, grad: np.ndarray, n: int) -> None:
+        """A step of these rows of the tables, counted through all of them."""
+        table, sums = (x["tables"].reshape(-1, HIDDEN) for x in (self.net, self.sums))
+        for a in range(0, len(rows), AT_ONCE // HIDDEN):
+            own, g = rows[a : a + AT_ONCE // HIDDEN].astype(np.intp), grad[a : a + AT_ONCE // HIDDEN]
+            g *= np.float32(1 / n)
+            now = sums.take(own, axis=0)
+            now += g * g
+            _put(sums, own, now)
+            g *= np.float32(STEP)
+            g /= np.sqrt(now, out=now)
+            table.take(own, axis=0, out=now, mode="clip")
+            now -= g
+            _put(table, own, now)
 
     def learn(self, ctx: np.ndarray, target: np.ndarray) -> None:
         """One pass over these places, a step for each BATCH of them."""
@@ -320,25 +388,30 @@ class Trainer:
         net, h, path, n = self.net, _hidden(self.net, c), _Paths(t), len(t)
         back = np.empty((n, HIDDEN), np.float32)
         layer, down = np.zeros_like(net["layer"]), np.ascontiguousarray(net["layer"][:HIDDEN].T)
-        reach = float(_reach(net["layer"]))
+        reach = self._reach("layer")
         for x in range(0, n, SLICE):
             own = h[x : x + SLICE]
-            g = _error(own @ net["layer"], path.first[x : x + SLICE], reach)
+            g = own @ net["layer"]
+            scale = _unscaled(g, path.first[x : x + SLICE], reach)
             np.matmul(g, down, out=back[x : x + SLICE])
-            layer += own.T @ g
-        second, reach = np.zeros_like(net["second"]), float(_reach(net["second"]).max())
+            back[x : x + SLICE] *= scale
+            layer += (own * scale).T @ g
+        second, reach, weights = np.zeros_like(net["second"]), self._reach("second"), net["second"]
         h2 = h.take(path.inner, axis=0)
         back2 = np.empty((len(h2), HIDDEN), np.float32)
         for x, y, runs in path.blocks:
             z = np.empty((y - x, MEMBERS), np.float32)
             for k, a, b in runs:
-                np.matmul(h2[a:b], net["second"][k], out=z[a - x : b - x])
+                np.dot(h2[a:b], weights[k], out=z[a - x : b - x])
             g = _error(z, path.member[x:y], reach)
             for k, a, b in runs:
-                np.matmul(g[a - x : b - x], net["second"][k, :HIDDEN].T, out=back2[a:b])
-                second[k] += h2[a:b].T @ g[a - x : b - x]
+                own = g[a - x : b - x]
+                np.dot(own, weights[k, :HIDDEN].T, out=back2[a:b])
+                np.dot(h2[a:b].T, own, out=second[k])
+            # No other block has these classes.
+            self._step("second", second, n, slice(runs[0][0], runs[-1][0] + 1))
         back[path.inner] += back2
-        third, reach = np.zeros_like(net["third"]), float(_reach(net["third"])) - float(self.vocab["parts"].min())
+        third, reach = np.zeros_like(net["third"]), self._reach("third") - self.least
         for x in range(0, len(path.hashed), SLICE):
             own = path.hashed[x : x + SLICE]
             h3 = h[own, :HIDDEN]
@@ -349,17 +422,9 @@ class Trainer:
             back[own] += g @ net["third"].T
         h = h[:, :HIDDEN]
         back *= 1 - h * h
-        for name, grad in (("second", second), ("third", third), ("layer", layer), ("inner", back.sum(axis=0))):
+        for name, grad in (("third", third), ("layer", layer), ("inner", back.sum(axis=0))):
             self._step(name, grad, n)
-        columns = back.T.astype(np.float64)
-        for d in range(c.shape[1]):
-            # The distinct rows of the table, and which of them each place has.
-            seen = np.zeros(CONTEXTS, bool)
-            seen[c[:, d]] = True
-            rows = np.flatnonzero(seen)
-            self.rank[rows] = np.arange(len(rows))
-            mine = self.rank[c[:, d]]
-            self._step_rows(d, rows, np.stack([np.bincount(mine, x, len(rows)) for x in columns]).T.astype(np.float32, order="C"), n)
+        self._step_rows(*_summed((c.T + _TABLE).ravel(), back), n)
         self.places += n
 
 
@@ -441,8 +506,9 @@ def log_probabilities(blobs: list[bytes], net: dict, vocab: dict) -> np.ndarray:
     """The sum for each document."""
     out = np.zeros(len(blobs))
     sym, ctx, doc, _ = contexts(blobs)
-    for a in range(0, len(sym), BATCH):
-        out += np.bincount(doc[a : a + BATCH], word_scores(net, vocab, ctx[a : a + BATCH], sym[a : a + BATCH]), minlength=len(blobs))
+    for a in range(0, len(sym), TOGETHER):
+        own = slice(a, a + TOGETHER)
+        out += np.bincount(doc[own], word_scores(net, vocab, ctx[own], sym[own]), minlength=len(blobs))
     return out
 
 
