@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,23 @@ def test_strict_matches_raise(spark):
         reconcile.validated(spark.createDataFrame([(1, None, None, None)], "k int, c string, w string, b string"), "k")
 
 
+def test_matching_rows_without_a_key_or_with_a_common_one(spark):
+    """Rows that have no key don't meet in one task, and those that share one aren't sorted there, whatever their other columns."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    i = F.col("id")
+    rows = own.range(400).select("id", F.when(i % 100 == 0, F.concat(F.lit("a"), i)).alias("s"), F.lit(7).alias("p"), F.create_map(F.lit("x"), i).alias("a map"))
+    targets = own.createDataFrame([(1, "a0", 7), (2, "a100", 8), (3, "a200", 9), (4, "a200", 9), (5, None, None)], "ID long, s string, p int")
+    one = reconcile.priority_match(rows, targets, [("s", "s")], "ID").select("id", "s", "matched", F.spark_partition_id().alias("task")).collect()
+    assert {r.id: r.matched for r in one if r.matched is not None} == {0: 1, 100: 2}
+    shares = Counter(r.task for r in one if r.s is None)
+    assert sum(shares.values()) == 396 and len(shares) == 2 and min(shares.values()) > 100
+    both = reconcile.priority_match(rows, targets, [("s", "s"), ("p", "p")], "ID")
+    assert both.columns == ["id", "s", "p", "a map", "matched"] and [(r.matched, r["count"]) for r in both.groupBy("matched").count().orderBy("matched").collect()] == [(1, 399), (2, 1)]
+    assert "SortMergeJoin" not in both._jdf.queryExecution().executedPlan().toString()
+
+
 def test_deep_trees_and_scoped_walks(spark):
     n = spark.createDataFrame([(i, i - 1 if i else None) for i in range(7)] + [(100, 101), (101, 100)], "ID long, post_parent long")
     assert hierarchy.ancestors(n).where("ID = 6").count() == 6

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,13 +120,25 @@ def apply_order(entries: DataFrame, deleted: str = "is_delete", depth: str = "de
     return entries.orderBy(F.col(deleted), F.when(F.col(deleted), -F.col(depth)).otherwise(F.col(depth)), key)
 
 
+def _row_hash(rows: DataFrame) -> Column:
+    """A hash of each row, of the columns that can be named and hashed; it depends on nothing else, so a task that runs again deals rows out alike."""
+    names = [c.lower() for c in rows.columns]
+    plain = [f.name.replace("`", "``") for f in rows.schema if names.count(f.name.lower()) == 1 and not re.search(r"\bmap<|\bvariant\b", f.dataType.simpleString())]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
 def priority_match(rows: DataFrame, targets: DataFrame, pairs: list[tuple[str, str]], ident: str, strict: bool = False) -> DataFrame:
     """Match rows to targets by the first of several key pairs that finds exactly one target; adds `matched`. Keys that aren't unique match nothing, or raise if strict,
-    and so does then a row that has a key but no target."""
-    out, found = rows, []
+    and so does then a row that has a key but no target.
+
+    Rows may lack a key, and many may share one, so a task's share of them isn't bounded by its share of keys: those without a key are spread by a hash of the whole row, and
+    rows stream past a hash table of the task's targets, one entry a key, instead of being sorted.
+    """
+    out, found, spread = rows, [], _row_hash(rows)
     for k, (own, other) in enumerate(pairs):
         one = targets.where(F.col(other).isNotNull()).groupBy(F.col(other).alias(f"__k{k}")).agg(F.min(ident).alias(f"__m{k}"), F.count(F.lit(1)).alias(f"__n{k}"))
-        out = out.join(one, F.col(own) == F.col(f"__k{k}"), "left")
+        place = F.when(F.col(own).isNull(), spread).otherwise(F.lit(1))  # the other side's is always 1, but not as a literal, which would leave the join's key
+        out = out.join(one.hint("shuffle_hash"), (F.col(own) == F.col(f"__k{k}")) & (place == F.least(F.col(f"__n{k}"), F.lit(1))), "left")
         found.append(F.when(F.col(f"__n{k}") == 1, F.col(f"__m{k}")))
     matched = F.coalesce(*found)
     if strict:
